@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, mixing, packing, token_counts
+from quire.llm import exact_dedup, mixing, packing, quality, token_counts
 from quire.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_token_counts, op6_mixing, op8_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op5_token_counts, op6_mixing, op7_quality, op8_packing)}
 
 
 OP1_SQL = r"""
