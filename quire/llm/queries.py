@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts
+from quire.llm import exact_dedup, licenses, mixing, near_dedup, packing, quality, token_counts
 from quire.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op5_token_counts, op6_mixing, op7_quality, op8_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op5_token_counts, op6_mixing, op7_quality, op8_packing, op10_license_scan)}
 
 
 OP1_SQL = r"""
