@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, langid, licenses, mixing, near_dedup, packing, quality, token_counts
+from quire.llm import exact_dedup, langid, licenses, lm_score, mixing, near_dedup, packing, quality, token_counts
 from quire.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_near_dedup, op5_token_counts, op6_mixing, op7_quality, op8_packing, op9_langid, op10_license_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op5_token_counts, op6_mixing, op7_quality, op8_packing, op9_langid, op10_license_scan)}
 
 
 OP1_SQL = r"""
