@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, langid, licenses, lm_score, mixing, near_dedup, packing, quality, token_counts
+from quire.llm import exact_dedup, html_main, langid, licenses, lm_score, mixing, near_dedup, packing, quality, token_counts
 from quire.llm.common import documents
+from quire.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,8 +53,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(documents(spark, sf_dir))
 
 
+def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op5_token_counts, op6_mixing, op7_quality, op8_packing, op9_langid, op10_license_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_html_main, op5_token_counts, op6_mixing, op7_quality, op8_packing, op9_langid, op10_license_scan)}
 
 
 OP1_SQL = r"""
