@@ -35,7 +35,9 @@ class _Tree(HTMLParser):
         self.source: list[str] = []  # markup likewise
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        e = {"pos": len(self.found), "end_pos": len(self.found), "parent": self.open[-1]["pos"] if self.open else -1, "depth": len(self.open), "tag": tag, "attrs": {k: v or "" for k, v in reversed(attrs)}}
+        e = {"pos": len(self.found), "end_pos": len(self.found), "parent": self.open[-1]["pos"] if self.open else -1, "depth": len(self.open), "tag": tag, "attrs": {}}
+        for k, v in attrs:
+            e["attrs"].setdefault(k, v or "")
         e["_text"], e["_outer"] = [len(self.pieces)], [len(self.source)]
         self.found.append(e)
         if self.markup:
