@@ -99,17 +99,25 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return stored(rows.groupBy("key", "doc_id", "source_key", "size").agg(F.count("*").alias("copies")), f"{name}-units")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: key, doc_id, size, source_size, target, times, taken."""
+def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for rows that agree in id, text and source: key, doc_id, size, copies, source_size, target, times."""
     own = units(docs, id_col, text_col, source_col)
     sizes = own.groupBy("source_key").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     shares = stored(targets(sizes, weights, most_copies), "mix-targets")
-    return draw(own, shares).withColumn("taken", F.col("size") * F.col("times"))
+    return draw(own, shares)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, times, taken."""
+    rows = drawn(docs, weights, most_copies, id_col, text_col, source_col)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select("doc_id", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix with all their columns, each as often as the mix takes it."""
-    times = stored(mix(docs, weights, most_copies, id_col, text_col, source_col).where("times > 0").select(F.col("key").alias("__key"), F.col("times").alias("__times")), "mix-times")
+    rows = drawn(docs, weights, most_copies, id_col, text_col, source_col)
+    times = stored(rows.where("times > 0").select(F.col("key").alias("__key"), F.col("times").alias("__times")), "mix-times")
     keyed = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col), F.col(source_col)))
     out = keyed.join(times, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
