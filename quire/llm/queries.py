@@ -68,5 +68,40 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(l) >= 3 THEN list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM e JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+b AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, b.b FROM r JOIN b ON r.node = b.a),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+_OFFERS = "".join(
+    f"""
+p{i} AS (SELECT key, sk, words, odds, need, sum(words) OVER (PARTITION BY sk ORDER BY odds, key ROWS UNBOUNDED PRECEDING) AS through FROM (SELECT key, sk, words, odds, n.need FROM p{i - 1} JOIN n{i - 1} n USING (sk) WHERE {"through > p%d.need AND " % (i - 1) if i > 1 else ""}words <= n.need) q),
+n{i} AS (SELECT n.sk, n.need - coalesce(sum(p.words), 0) AS need FROM n{i - 1} n LEFT JOIN (SELECT sk, words FROM p{i} WHERE through <= need) p ON p.sk = n.sk GROUP BY n.sk, n.need),"""
+    for i in (1, 2, 3)
+)
+
+OP6_SQL = rf"""
+WITH d AS (SELECT md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '-'), CASE WHEN source IS NULL THEN '1' ELSE '0' || source END, md5(coalesce(text, '')))) AS key, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words FROM documents),
+s AS (SELECT sk, CAST(sum(words) AS BIGINT) AS size, (row_number() OVER (ORDER BY sk) - 1) % 3 + 1 AS weight FROM d GROUP BY sk),
+t AS (SELECT *, size * 3 AS cap, ((SELECT sum(size) FROM s) - coalesce(sum(size * 3) OVER (ORDER BY size * 3 / weight, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY size * 3 / weight, sk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+o AS (SELECT *, cap > level * weight AS open FROM t),
+g AS (SELECT sk, size, CASE WHEN open THEN (SELECT arg_min(level, cap / weight) FROM o WHERE open) * weight ELSE CAST(cap AS DOUBLE) END AS target FROM o),
+r AS (SELECT d.*, size, target, floor(CASE WHEN size > 0 THEN target / size ELSE 0 END) AS whole, CASE WHEN size > 0 THEN target / size ELSE 0 END - floor(CASE WHEN size > 0 THEN target / size ELSE 0 END) AS chance, (CAST('0x' || substr(key, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM d JOIN g USING (sk)),
+p0 AS (SELECT key, sk, words, (CAST(u AS DOUBLE) / (1 - CAST(u AS DOUBLE))) / (chance / (1 - chance)) AS odds FROM r WHERE chance > 0 AND words > 0),
+n0 AS (SELECT sk, any_value(target) - any_value(whole) * any_value(size) AS need FROM r GROUP BY sk),{{_OFFERS}}
+f AS (SELECT key FROM p1 WHERE through <= need UNION ALL SELECT key FROM p2 WHERE through <= need UNION ALL SELECT key FROM p3 WHERE through <= need),
+z AS (SELECT arg_min(key, (abs(words - need), odds, key)) AS key FROM p0 JOIN n3 USING (sk) WHERE key NOT IN (SELECT key FROM f) AND abs(words - need) < need GROUP BY sk),
+m AS (SELECT key FROM f UNION ALL SELECT key FROM z)
+SELECT doc_id, words AS size, size AS source_size, target, CAST(words * (whole + CASE WHEN key IN (SELECT key FROM m) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+""".replace("{_OFFERS}", _OFFERS)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_near_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
