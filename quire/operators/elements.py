@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -111,11 +112,13 @@ def parse(pages: DataFrame, html_col: str = "html", tags: tuple[str, ...] | None
 
 
 def matches(e: Column, tag: str | None = None, cls: str | None = None, attr: dict[str, str] | None = None, string: str | None = None) -> Column:
-    """Whether an element has a tag, one class among its classes, attributes, and an exact text."""
+    """Whether an element has a tag, one class among its classes (several words: exactly these), attributes, and an exact text."""
     out = F.lit(True)
     if tag:
         out = out & (e["tag"] == tag)
-    if cls:
+    if cls and " " in cls:
+        attr = {**(attr or {}), "class": cls}
+    elif cls:
         out = out & F.coalesce(F.array_contains(F.split(F.try_element_at(e["attrs"], F.lit("class")), r"\s+"), cls), F.lit(False))
     for name, value in (attr or {}).items():
         out = out & F.coalesce(F.try_element_at(e["attrs"], F.lit(name)) == value, F.lit(False))
@@ -164,3 +167,40 @@ def attr_or(e: Column, first: str, host: str, other: str) -> Column:
     """An attribute if it names a host, else another one, such as data-src for images that load late."""
     value = attr(e, first)
     return F.when(F.coalesce(value.contains(host), F.lit(False)), value).otherwise(attr(e, other))
+
+
+def page_text(elements: Column | str) -> Column:
+    """The text of all elements of a page."""
+    return F.array_join(F.transform(F.filter(elements, lambda e: e["depth"] == 0), lambda e: e["text"]), "")
+
+
+def pretty_html(markup: str) -> str:
+    """Markup with each tag and text on a line of its own, a space deeper in each element."""
+    lines: list[str] = []
+    depth = 0
+
+    class Lines(HTMLParser):
+        def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+            nonlocal depth
+            lines.append(f"{' ' * depth}<{tag}{''.join(f' {k}="{html.escape(v or '')}"' for k, v in attrs)}{'/' if tag in VOID else ''}>")
+            depth += tag not in VOID
+
+        def handle_endtag(self, tag: str) -> None:
+            nonlocal depth
+            if tag not in VOID:
+                depth = max(0, depth - 1)
+                lines.append(f"{' ' * depth}</{tag}>")
+
+        def handle_data(self, data: str) -> None:
+            if data.strip():
+                lines.append(" " * depth + html.escape(data.strip(), quote=False))
+
+    parser = Lines()
+    parser.feed(markup)
+    parser.close()
+    return "\n".join(lines)
+
+
+@F.arrow_udf(StringType())
+def pretty(markup: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else pretty_html(x) for x in markup.to_pylist()], pa.string())
