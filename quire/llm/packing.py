@@ -11,6 +11,8 @@ order; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,11 +25,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import stored, text_slices
-from quire.llm.token_counts import MEMORY, byte_alphabet, default_vocabulary, pieces_words
+from quire.llm.token_counts import MEMORY, byte_alphabet, default_vocabulary
 
 #: Rows of a block on average, and the least and most blocks; the table of blocks is what is broadcast.
 BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1024, 1024, 1 << 17
 
+#: A mark after a letter and before white space is a word of its own; set apart, it leaves fewer pieces to remember.
+MARK = re.compile(rb"[.,!?;:](?<=[a-z].)(?=[\x20\x09-\x0D])")
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -76,6 +81,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.by_word: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -83,7 +89,7 @@ class Encoder:
         self.own = model["type"] == "BPE" and bool(model.get("end_of_word_suffix")) and [s.get("type") for s in steps] == ["Split", "ByteLevel"]
         if self.own:
             ids, end = model["vocab"], model["end_of_word_suffix"]
-            self.words = regex.compile(steps[0]["pattern"]["Regex"])
+            self.words = regex.compile(steps[0]["pattern"]["Regex"] + r"|\n")
             self.inner = np.asarray([ids[x] for x in byte_alphabet()], "i8")
             self.last = np.asarray([ids[x + end] for x in byte_alphabet()], "i8")
             pairs = np.asarray([(ids[a], ids[b], ids[a + b]) for a, b in model["merges"]], "i8")
@@ -123,27 +129,40 @@ class Encoder:
         return out
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = [p for p in pieces if p not in self.known]
+        new = pieces - self.known.keys()
         if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, list(pieces)
+            self.older, self.known, new = self.known, {}, pieces  # what is still in use moves on
+        again = new & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = new - again
         other = [p for p in new if not self.own or b"<|" in p]
         for p, e in zip(other, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in other], add_special_tokens=False), strict=True):
             self.known[p] = np.asarray(e.ids, "<u4").tobytes()
-        if self.own:
-            split = [(p, pieces_words(p, self.words)) for p in new if b"<|" not in p]
-            needed = {w for _, words in split for w in words}
-            fresh = [w for w in needed if w not in self.by_word]
+        plain = list(new.difference(other))
+        if self.own and plain:
+            # all at once, a line each; lower-cased one by one: str.lower() looks at a final sigma's place
+            lines = unicodedata.normalize("NFC", b"\n".join(plain).decode("utf-8", "replace")).replace("Σ", "σ").lower()
+            words = self.words.findall(lines)
+            kinds = set(words)
+            kinds.discard("\n")
+            fresh = list(kinds - self.by_word.keys())
             if len(self.by_word) + len(fresh) > MEMORY:
-                self.by_word, fresh = {}, list(needed)
+                self.by_word, fresh = {}, list(kinds)
             if fresh:
                 self.by_word.update(zip(fresh, self.merge([w.encode() for w in fresh]), strict=True))
-            known = self.by_word
-            for p, words in split:
-                self.known[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            known, ids, out = self.by_word, [], []
+            for w in words:
+                if w == "\n":
+                    out.append(b"".join(ids))
+                    ids = []
+                else:
+                    ids.append(known[w])
+            out.append(b"".join(ids))
+            self.known.update(zip(plain, out, strict=True))
 
     def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn({p for pieces in split for p in pieces})
+        split = [(t if b"<|" in t or not self.own else MARK.sub(rb" \g<0>", t.lower())).split() for t in texts]
+        self.learn(set().union(*split))
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) + end for pieces in split]
 
