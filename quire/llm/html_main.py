@@ -40,6 +40,9 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidebars widget widgets menu menus nav navbar navigation topnav breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations trending comment comments commentlist reply replies respond disqus footer header masthead topbar toolbar pagination pager paging login signin signup register search searchbox copyright disclaimer skip hidden".split()
 )
+#: Inside an article these are its own top, of which the headings stay; names that begin with the others only tell of a page's make-up.
+TOPS = frozenset(["header", "masthead"])
+ABOUT = (["has"], ["with"], ["no"], ["without"], ["is"], ["layout"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {
@@ -78,16 +81,20 @@ def is_cut(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if tag in ("body", "html", "main") or (tag == "article" and not in_article and attrs.get("class", "").lower() not in CUT_WORDS):
         return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(w.lower() in CUT_WORDS for w in NAME_WORDS.findall(names))
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in NAME_WORDS.findall(name)]
+        if words[:1] not in ABOUT and any(w in CUT_WORDS and not (in_article and w in TOPS) for w in words):
+            return True
+    return False
 
 
 class Node:
-    __slots__ = ("tag", "path", "cut", "article", "style", "content")
+    __slots__ = ("tag", "path", "cut", "article", "style", "content", "top")
 
     def __init__(self, tag: str, path: int, cut: bool, article: int) -> None:
         self.tag, self.path, self.cut, self.article = tag, path, cut, article
         self.style = self.content = 7
+        self.top = False
 
 
 def path_of(parent: int, tag: str, attrs: dict[str, str]) -> int:
@@ -185,9 +192,11 @@ class Page:
         elif not cut and tag == "article" and article and next(n.tag for n in stack if n.article == article) != "article":
             self.roots += 1  # an article inside the main part is a root of its own
             article = self.roots
-        if not cut and top.tag == "header" and article and tag not in HEADINGS and tag != "hgroup":
-            cut = True  # of an article's header the headings stay
-        stack.append(Node(tag, path, cut, article))
+        if not cut and top.top and tag not in HEADINGS and tag not in ("hgroup", "div"):
+            cut = True  # of an article's top the headings stay
+        node = Node(tag, path, cut, article)
+        node.top = bool(article) and (tag == "header" or top.top and tag in ("hgroup", "div") or any(w.lower() in TOPS for w in NAME_WORDS.findall(attrs.get("class", "")))) if attrs or tag == "header" or top.top else False
+        stack.append(node)
 
     def close_open(self, stack: list[Node], tags: frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
