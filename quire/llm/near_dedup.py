@@ -3,10 +3,10 @@
 Each permutation of the hashed shingles gives two values, the least and the greatest, so half as many are evaluated. Values
 are cut to bands; documents that agree in a band share a bucket. Documents with equal sets are one node. In a bucket, all
 nodes are held against one, the node with the largest share of shingles that others have too; links are confirmed on full
-sets, and linked nodes become components. Then the pairs in a bucket that are of different components and may still be
-similar enough are confirmed as well. What may be similar is bounded exactly: a shingle that no other node in any bucket has
-can't be shared, which for most nodes and pairs already leaves too few. So a large group of copies doesn't become all its
-pairs, and no link that the bands find is lost.
+sets, and linked nodes become components. Nodes that can't be linked are left out by an exact bound: a shingle that no other
+node in any bucket has can't be shared, which leaves most with too few. What remains of a bucket in more than one component is
+held against each other in cells of bounded size. So a large group of copies doesn't become all its pairs as rows, and no link
+that the bands find is lost.
 
 Bands: 25 of 5 values from 64 permutations miss a pair of similarity 0.85 with probability 4e-7, one of 0.8 with 5e-5.
 
@@ -34,6 +34,8 @@ PERMUTATIONS = (BANDS * ROWS + 1) // 2
 MEMORY = 400_000
 #: A table of so many ids (8 bytes each) is broadcast at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Nodes of a part of a bucket, and shingles of theirs, about.
+PART_NODES, PART_SHINGLES = 1024, 500_000
 
 _rng = np.random.default_rng(20240501)
 FLIP = _rng.integers(0, 1 << 64, PERMUTATIONS, dtype="u8")
@@ -154,6 +156,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_enough(shared, F.size("of_a"), F.size("of_b"), percent)).select("a", "b")
 
 
+def _cells(marked: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components of which members in one bucket are similar enough.
+
+    A bucket's members are dealt to parts of bounded size, those of its largest component apart from the others. A cell holds
+    two parts, and there is none for two parts of the largest component. Sets of a cell are intersected as a product of
+    matrices, so pairs of documents never become rows.
+    """
+    parts = lambda members, weight: F.greatest(F.ceil(members / PART_NODES), F.ceil(weight / PART_SHINGLES), F.lit(1)).cast("int")
+    plan = mixed.select("bucket", F.col("major.label").alias("major"), parts(F.col("major.members"), F.col("major.weight")).alias("large"), parts(F.col("members") - F.col("major.members"), F.col("weight") - F.col("major.weight")).alias("small"))
+    rows = marked.join(plan, "bucket").withColumn("in_major", F.col("label") == F.col("major"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("in_major"), F.col("large")).otherwise(F.col("small"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("small") - 1)
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    of_major = F.transform(others, lambda y: cell("large", F.col("part"), y))
+    with_major = F.transform(F.sequence(F.lit(0), F.col("large") - 1), lambda x: cell("large", x, F.col("part")))
+    with_others = F.transform(others, lambda y: cell("small", F.least(F.col("part"), y), F.greatest(F.col("part"), y)))
+    rows = rows.select("bucket", "node", "label", "in_major", F.explode(F.when(F.col("in_major"), of_major).otherwise(F.concat(with_major, with_others))).alias("cell"))
+    full = rows.select("bucket", "cell.kind", "cell.x", "cell.y", "node", "label").join(sets, "node").select("bucket", "kind", "x", "y", "label", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        label = table.column("label").to_numpy()
+        shingles = table.column("shingles").combine_chunks()
+        size = np.asarray(shingles.value_lengths(), "i8")
+        shared = intersections(shingles.flatten().to_numpy(zero_copy_only=False), size)
+        enough = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        i, j = np.nonzero(np.triu(enough & (label[:, None] != label[None, :])))
+        pairs = np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return full.groupBy("bucket", "kind", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
+def intersections(elements: np.ndarray, sizes: np.ndarray, columns: int = 2048) -> np.ndarray:
+    """How many elements each two sets share; the sets' elements follow one another."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, n = np.unique(elements, return_inverse=True, return_counts=True)
+    held = n[column] > 1
+    row, column = row[held], (np.cumsum(n > 1) - 1)[column[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.diag(sizes).astype("f4")
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        block = np.zeros((len(sizes), columns), "f4")
+        block[row[a:b], column[a:b] - at] = 1
+        out += block @ block.T
+    np.fill_diagonal(out, sizes)
+    return out.astype("i8")
+
+
 def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -192,16 +244,15 @@ def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_
     stars = stored(_confirmed(pairs, sets, percent), "stars")
     labels = components(stars, "first")
 
-    # the other pairs that may be similar enough, of different components
+    # what else may be linked in a bucket: members of different components, held against each other cell by cell
     marked = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    marked = stored(marked.join(mixed, "bucket").select("bucket", "node", "n", "common", "label"), "marked")
-    left, right = (marked.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "common", "label"))) for side in "ab")
-    may = (F.col("label_a") < F.col("label_b")) & _enough(F.least("common_a", "common_b"), F.col("n_a"), F.col("n_b"), percent)
-    rest = left.join(right, "bucket").where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = stored(_confirmed(rest, sets, percent), "more")
-    if more.limit(1).count():
-        labels = components(stars.unionByName(more), "second")
+    by_label = marked.groupBy("bucket", "label").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+    mixed = by_label.groupBy("bucket").agg(F.max(F.struct("members", "label", "weight")).alias("major"), F.sum("members").alias("members"), F.sum("weight").alias("weight")).where("members > major.members")
+    more = stored(_cells(marked, mixed, sets, percent), "more")
+    over = components(more, "second") if more.limit(1).count() else more.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    over = over.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+    ends = labels.select("label").unionByName(over.select("label")).distinct()
+    labels = labels.unionByName(ends.select(F.col("label").alias("node"), "label")).distinct().join(over, "label", "left").select("node", F.coalesce("higher", "label").alias("label")).distinct()
 
     found = classes.select("digest", "node").join(labels, "node").select("digest", "label")
     alone = own.join(classes.select("digest", "node"), "digest", "left").join(found, "digest", "left")
