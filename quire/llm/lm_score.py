@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import stored, text_slices
-from quire.llm.packing import PairTable
+from quire.llm.hashing import Table
 
 #: Rounds of expectation maximisation, and what each piece's expected count gets added.
 ROUNDS, ADDED = 3, 0.1
-#: Tokens of a chunk.
-CHUNK_TOKENS = 1_000_000
+#: Tokens of a chunk, and different words, so that a word's number has two bytes (a longer text alone may have more).
+CHUNK_TOKENS, CHUNK_WORDS = 1_000_000, 60_000
 #: Words whose lattices are built together, and characters of them at most.
 TOGETHER, TOGETHER_CHARS = 50_000, 400_000
 START = 0x2581
@@ -45,6 +45,14 @@ def _step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """Hashes of rows of code points."""
+    h = np.zeros(len(codes), "u8")
+    for k in range(codes.shape[1]):
+        h = _step(h, codes[:, k])
+    return h
+
+
 class Pieces:
     """The pieces of a vocabulary file that can occur in a word: 256 bytes first, then texts, and one end."""
 
@@ -62,15 +70,16 @@ class Pieces:
         scores = np.asarray(scores)
         weights = np.exp(scores) if scores.min(initial=0) > -100 else 1 / (10 - scores)
         self.first = np.r_[np.full(256, weights.min() / 256), weights, weights.max()]
-        hashes = np.zeros(len(texts), "u8")
-        for length in {len(t) for t in texts}:
-            mine = [i for i, t in enumerate(texts) if len(t) == length]
-            h = np.zeros(len(mine), "u8")
-            codes = np.asarray([[ord(c) for c in texts[i]] for i in mine], "u8")
-            for k in range(length):
-                h = _step(h, codes[:, k])
-            hashes[mine] = h
-        self.table = PairTable(hashes.view("i8"), np.arange(256, 256 + len(texts)))
+        # each beginning of a piece, with the piece's number where it is one
+        numbers: dict[str, int] = {t[:k]: -1 for t in texts for k in range(1, len(t))}
+        numbers.update(zip(texts, range(256, 256 + len(texts)), strict=True))
+        found, keys = list(numbers), np.zeros(len(numbers), "u8")
+        sizes = np.fromiter(map(len, found), "i8", len(found))
+        for length in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == length)
+            codes = np.frombuffer("".join([found[i] for i in mine]).encode("utf-32-le"), "<u4").reshape(-1, length)
+            keys[mine] = hashed(codes)
+        self.table = Table(keys, np.fromiter(numbers.values(), "i8", len(numbers)))
         self.size = len(self.first)
 
 
@@ -112,13 +121,16 @@ class Lattice:
         forward = [np.zeros(m)] + [np.full(m, -np.inf) for _ in range(n)]
         single = [self._fallback(codes[:, s]) for s in range(n)]
         for s in range(n):
-            h = np.zeros(m, "u8")
+            rows, h = np.arange(m), np.zeros(m, "u8")
             for e in range(s + 1, min(n, s + self.pieces.longest) + 1):
-                h = _step(h, codes[:, e - 1])
-                piece = self.pieces.table.get(h.view("i8"), -1)
-                hit = np.flatnonzero(piece >= 0)
-                if len(hit):
-                    p = piece[hit]
+                h = _step(h, codes[rows, e - 1])
+                alive, piece = self.pieces.table.find(h)
+                if not len(alive):
+                    break  # no piece begins so
+                rows, h = rows[alive], h[alive]
+                whole = piece >= 0
+                if whole.any():
+                    hit, p = rows[whole], piece[whole]
                     forward[e][hit] = np.logaddexp(forward[e][hit], forward[s][hit] + self.logp[p])
                     if expected is not None:
                         edges[s, e] = hit, p
@@ -174,7 +186,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([held], pa.list_(pa.bool_())),
                 pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([b"".join(codes)], pa.binary()),
+                pa.array([np.concatenate([*codes, np.zeros(0, "<u4")]).astype("<u2" if len(index) <= 1 << 16 else "<u4").tobytes()], pa.binary()),
                 pa.array([list(index)], pa.list_(pa.binary())),
                 pa.array([trained], pa.list_(pa.int64())),
             ],
@@ -184,7 +196,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_slices(batches):
         for doc_id, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), texts, strict=True):
             words = text.lower().split()  # of bytes: A-Z only, and ASCII white space
-            own = np.fromiter([index.setdefault(w, len(index)) for w in words], "<i4", len(words))
+            own = np.fromiter([index.setdefault(w, len(index)) for w in words], "<u4", len(words))
             if len(trained) < len(index):
                 trained = np.r_[trained, np.zeros(max(len(index), 2 * len(trained)) - len(trained), "i8")]
             if not h:
@@ -192,9 +204,9 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc_id)
             held.append(h)
             lengths.append(len(words))
-            codes.append(own.tobytes())
+            codes.append(own)
             tokens += len(words) + 1
-            if tokens >= CHUNK_TOKENS:
+            if tokens >= CHUNK_TOKENS or len(index) >= CHUNK_WORDS:
                 trained = trained[: len(index)]
                 yield out()
                 made, tokens, index, ids, held, lengths, codes, trained = made + 1, 0, {}, [], [], [], [], np.zeros(0, "i8")
@@ -243,7 +255,7 @@ def lm_score(docs: DataFrame, pieces: str | None = None, id_col: str = "doc_id",
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held"), F.col(text_col).alias("text"))
-    chunks = stored(rows.mapInArrow(_chunks, CHUNKS), "lm-chunks")
+    chunks = stored(rows.mapInArrow(_chunks, CHUNKS), "lm-chunks", "zstd")
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "trained")).alias("code", "x")).select("chunk", "code", F.col("x.words").alias("word"), F.col("x.trained").alias("n"))
     totals = stored(listed.groupBy("word").agg(F.sum("n").alias("n")), "lm-totals")
     train_docs = chunks.select(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()["n"] or 0
@@ -269,7 +281,8 @@ def lm_score(docs: DataFrame, pieces: str | None = None, id_col: str = "doc_id",
         n[code], piece_sums[code] = words.column("n").to_numpy(), words.column("logp").to_numpy()
         base = np.log10(n + 1) - floor
         for row in chunk.select(["doc_ids", "held", "lengths", "codes"]).to_pylist():
-            codes, lengths = np.frombuffer(row["codes"], "<i4"), np.asarray(row["lengths"], "i8")
+            lengths = np.asarray(row["lengths"], "i8")
+            codes = np.frombuffer(row["codes"], "<u2" if len(row["codes"]) == 2 * lengths.sum() else "<u4")
             end = np.cumsum(lengths)
             for a, b in zip(end - lengths, end, strict=True):
                 own = codes[a:b]
