@@ -37,6 +37,15 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many short rows (ids and keys, some 32 bytes each) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a hint to broadcast it, if a count shows that it is small; df should be stored."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

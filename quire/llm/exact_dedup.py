@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import bounded, stored
 
 DIGEST = np.dtype("S32")
 #: Bits a key in each level of the perfect hash.
@@ -161,7 +161,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": digest(F.col(text_col))})
     right = gone.select(F.col("id").alias("__gone_id"), F.col("digest").alias("__gone_digest"))
     key = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
-    kept = keyed.join(right, key, "left_anti")
+    kept = keyed.join(bounded(right), key, "left_anti")
     if rows.where("copies > 1").limit(1).count():
         kept = kept.dropDuplicates(["__id", "__digest"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

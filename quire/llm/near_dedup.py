@@ -25,15 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, text_slices
+from quire.llm.common import bounded, stored, text_slices
 from quire.llm.graph import components
 
 BANDS, ROWS = 25, 5
 PERMUTATIONS = (BANDS * ROWS + 1) // 2
 #: Words remembered in a Python worker.
-MEMORY = 400_000
-#: A table of so many ids (8 bytes each) is broadcast at most; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+MEMORY = 250_000
 #: Nodes of a part of a bucket, and shingles of theirs, about.
 PART_NODES, PART_SHINGLES = 1024, 500_000
 
@@ -217,9 +215,8 @@ def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
     entries = stored(entries.join(shared, "bucket"), "entries")
     involved = stored(entries.select("node").distinct().join(classes.select("node", "digest"), "node"), "involved")
-    wanted = involved.select(F.col("node").alias("doc_id")).distinct()
-    n_wanted = wanted.count()
-    texts = rows.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "doc_id", "left_semi")
+    wanted = bounded(involved.select(F.col("node").alias("doc_id")).distinct())
+    texts = rows.join(wanted, "doc_id", "left_semi")
     sets = texts.mapInArrow(_full_sets(words), "node long, digest binary, shingles array<long>")
     sets = sets.join(involved, ["node", "digest"], "left_semi").drop("digest")
     if own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -267,4 +264,4 @@ def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str =
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one of each component stays (the smallest id), with all their columns."""
     gone = stored(link(docs, words, percent, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(bounded(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
