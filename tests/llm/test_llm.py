@@ -302,6 +302,21 @@ def test_quality_keeps_clean_and_rejects_noise(docs, spark):
     assert all(judged[d]["kept"] for d in plain)
 
 
+def test_quality_band_holds_against_junk(docs, spark):
+    """A third of a language is junk with one text more often than others, and a few texts of frequent words only are too easy."""
+    rng = np.random.default_rng(3)
+    clean = [(r["doc_id"], r["text"]) for r in docs.where("lang = 'en' and not text rlike '[#*$%&|<>]'").select("doc_id", "text").collect()]
+    marks = ["%%%", "&&&", "***", "$$$", "###", "<|>"]
+    junk = [(-10_000 - i, " ".join("".join(rng.choice(list("qxzjkvw#%&*"), 5)) + rng.choice(marks) for _ in range(40 + i % 60))) for i in range(len(clean) // 2)]
+    junk += [(-20_000 - i, junk[0][1]) for i in range(len(clean) // 4)]
+    easy = [(-30_000 - i, " ".join(rng.choice(["the", "of", "and", "in", "to", "er"], 400))) for i in range(3)]
+    rows = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([(d, t, "en") for d, t in clean + junk + easy], "doc_id long, text string, lang string")).collect()}
+    assert not any(rows[d]["base_failed"] for d, _ in junk + easy)
+    assert not any(rows[d]["kept"] for d, _ in junk)
+    assert not any(rows[d]["kept"] for d, _ in easy)
+    assert all(rows[d]["kept"] for d, _ in clean if not rows[d]["base_failed"])
+
+
 def test_kneser_ney_sums_to_one():
     words = {"aba": 3, "ab": 2, "ca": 1, "bac": 4}
     grams = Counter()
