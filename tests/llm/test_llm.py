@@ -317,6 +317,24 @@ def test_quality_band_holds_against_junk(docs, spark):
     assert all(rows[d]["kept"] for d, _ in clean if not rows[d]["base_failed"])
 
 
+def test_quality_model_of_a_small_language_beside_a_large_one(spark, monkeypatch):
+    """A language's model is that of all its own 5-grams, whatever others there are and however many n-grams they have."""
+    monkeypatch.setattr(quality, "MOST_GRAMS", 300, raising=False)
+    rng = np.random.default_rng(5)
+    syllables = {"big": "ba ke ti mo su ra ne li po du", "small": "che vu zo ga fi"}
+    made = {lang: [" ".join("".join(rng.choice(s.split(), 3)) for _ in range(60)) for _ in range(120 if lang == "big" else 6)] for lang, s in syllables.items()}
+    junk = " ".join("".join(rng.choice(list("qxjw#%&*"), 6)) for _ in range(40))
+    rows = [(i, t, lang) for lang, texts in made.items() for i, t in enumerate(texts, 1000 * len(lang))] + [(1, junk, "small")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for lang, texts in made.items():
+        grams = Counter(f"    {w} "[i : i + 5] for t in texts for w in t.split() for i in range(len(w) + 1))
+        model = quality.KneserNey({0: (np.asarray([[ord(c) for c in g] for g in grams], "u4"), np.asarray(list(grams.values())))})
+        for i, t in enumerate(texts, 1000 * len(lang)):
+            assert got[i]["log_ppl"] == pytest.approx(-model.words(0, t.split()).sum() / (len(t) + 1), rel=1e-4)
+            assert got[i]["kept"]
+    assert not got[1]["kept"] and not got[1]["base_failed"]
+
+
 def test_kneser_ney_sums_to_one():
     words = {"aba": 3, "ab": 2, "ca": 1, "bac": 4}
     grams = Counter()
