@@ -2,13 +2,13 @@
 
 Pages of a host are merged to one tree whose nodes are element paths (tags with classes). A node has as many style variants as
 its elements have different sequences of children, and content variants likewise. Their entropies over the host's pages, to the
-base of the number of elements, give the node's importance: what every page has alike has none. Branches of low importance are
+base of the number of elements, give the node's importance: what every page has alike has none. Copies of a page count as one. Branches of low importance are
 cut from each page of hosts with enough pages. Elements that by their tag, role or class can't be article text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments) are cut on every host; inside an article only branches
 that aren't paragraphs or headings can be cut for importance, and never what holds the article.
 
 Defined cases: null html counts as empty (text is empty); pages without a host are a site without cuts for importance; each row
-is a page of its own, also repeated ones; other columns are ignored; an empty table gives an empty result.
+gets a text of its own, also repeated ones; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, text_slices
+from quire.llm.common import bounded, stored, text_slices
 
-#: A node needs so many elements on its host, and less importance than this, to be cut; inside an article less than the second.
+#: A node needs so many different pages of its host, and less importance than this, to be cut; inside an article less than the second.
 LEAST_ELEMENTS, LOW, LOW_INSIDE = 8, 0.4, 0.05
 #: Weight of the style entropy against the content entropy.
 STYLE_WEIGHT = 0.2
@@ -232,21 +232,28 @@ def host(url: Column) -> Column:
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, pages in text_slices(batches, "html", 16 << 20):
         seen: dict[str, Counter] = {}
-        for site, page in zip(batch.column("host").to_pylist(), pages, strict=True):
+        for site, copies, page in zip(batch.column("host").to_pylist(), batch.column("copies").to_pylist(), pages, strict=True):
             if site:
-                seen.setdefault(site, Counter()).update(Page(counting=True).walk(page.decode("utf-8", "replace")).seen)
+                own, held = Page(counting=True).walk(page.decode("utf-8", "replace")).seen, seen.setdefault(site, Counter())
+                for key, n in own.items():
+                    held[key] += n / copies
+                for path in {path for path, _, _ in own}:
+                    held[path, 2, 0] += 1 / copies
         rows = [(site, path, what, value, n) for site, c in seen.items() for (path, what, value), n in c.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["host", "path", "what", "value", "n"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, elements, importance of each node of the hosts' trees, from (host, html)."""
-    variants = pages.mapInArrow(_count, "host string, path long, what long, value long, n long").groupBy("host", "path", "what", "value").agg(F.sum("n").alias("n"))
-    nodes = variants.groupBy("host", "path", "what").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("x"))
+    """host, path, elements, pages, importance of each node of the hosts' trees, from (host, html); copies of a page share the weight of one."""
+    keyed = pages.select("host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("key"))
+    copied = stored(keyed.groupBy("host", "key").agg(F.count("*").alias("copies")).where("copies > 1 and host != ''"), "copied")
+    weighed = keyed.join(bounded(copied), ["host", "key"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
+    variants = weighed.mapInArrow(_count, "host string, path long, what long, value long, n double").groupBy("host", "path", "what", "value").agg(F.round(F.sum("n"), 6).alias("n")).where("n > 0")
+    nodes = variants.groupBy("host", "path", "what").agg(F.round(F.sum("n"), 6).alias("m"), F.sum(F.col("n") * F.ln("n")).alias("x"))
     entropy = F.when(F.col("m") > 1, 1 - F.col("x") / (F.col("m") * F.ln("m"))).otherwise(F.lit(1.0))
-    nodes = nodes.groupBy("host", "path").agg(F.max("m").alias("elements"), F.max(F.when(F.col("what") == 0, entropy)).alias("style"), F.max(F.when(F.col("what") == 1, entropy)).alias("content"))
-    return nodes.select("host", "path", "elements", (STYLE_WEIGHT * F.col("style") + (1 - STYLE_WEIGHT) * F.col("content")).alias("importance"))
+    nodes = nodes.groupBy("host", "path").agg(F.max("m").alias("elements"), F.max(F.when(F.col("what") == 2, F.col("m"))).alias("pages"), F.max(F.when(F.col("what") == 0, entropy)).alias("style"), F.max(F.when(F.col("what") == 1, entropy)).alias("content"))
+    return nodes.select("host", "path", "elements", "pages", (STYLE_WEIGHT * F.col("style") + (1 - STYLE_WEIGHT) * F.col("content")).alias("importance"))
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +267,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
-    nodes = importance(rows.select("host", "html")).where((F.col("elements") >= LEAST_ELEMENTS) & (F.col("importance") < LOW))
+    nodes = importance(rows.select("host", "html")).where((F.col("pages") >= LEAST_ELEMENTS) & (F.col("importance") < LOW))
     inside = F.collect_list(F.when(F.col("importance") < LOW_INSIDE, F.col("path")))
     sites = stored(nodes.groupBy("host").agg(F.collect_list("path").alias("low"), inside.alias("low_inside")), "sites")  # a row a host; broadcast only below Spark's threshold
     return rows.join(sites, "host", "left").select("page_id", "url", "html", "low", "low_inside").mapInArrow(_cut, "page_id long, url string, text string, n_chars long")

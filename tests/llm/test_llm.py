@@ -419,6 +419,16 @@ def test_html_main_learns_a_site(spark):
     assert got[100].startswith("Welcome")
 
 
+def test_html_main_copies_count_once(spark):
+    page = "<body><div class=content><p>story {0} about {0}</p></div><div class=q3>Call us</div></body>"
+    inside = "<article><div class='entry-content'><p>the only page</p></div></article>"
+    rows = [(i, "http://a.example/", page.format(1)) for i in range(60)] + [(100 + i, "http://a.example/", page.format(50 + i)) for i in range(10)]
+    rows += [(200 + i, "http://b.example/", inside) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "story 1 about 1" and got[103] == "story 53 about 53"
+    assert got[205] == "the only page"
+
+
 def test_pipeline(spark, sf, docs):
     import corpus_pipeline as pipeline
 
