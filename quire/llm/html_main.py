@@ -4,7 +4,8 @@ Pages of a host are merged to one tree whose nodes are element paths (tags with
 its elements have different sequences of children, and content variants likewise. Their entropies over the host's pages, to the
 base of the number of elements, give the node's importance: what every page has alike has none. Copies of a page count as one. Branches of low importance are
 cut from each page of hosts with enough pages. Elements that by their tag, role or class can't be article text (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments) are cut on every host; inside an article only branches
+footers, sidebars, notices, adverts, forms, scripts, styles, comments) are cut on every host, but classes and ids don't cut a main
+part or article body below them, and words of a page's layout neither an article below them nor a branch with most text; inside an article only branches
 that aren't paragraphs or headings can be cut for importance, and never what holds the article.
 
 Defined cases: null html counts as empty (text is empty); pages without a host are a site without cuts for importance; each row
@@ -42,7 +43,14 @@ CUT_WORDS = frozenset(
 )
 #: Inside an article these are its own top, of which the headings stay; names that begin with the others only tell of a page's make-up.
 TOPS = frozenset(["header", "masthead"])
-ABOUT = (["has"], ["with"], ["no"], ["without"], ["is"], ["layout"])
+ABOUT = (["has"], ["with"], ["no"], ["without"], ["is"], ["layout"], ["overflow"])
+#: After these a word only tells of a page's make-up.
+BEFORE = frozenset("with has no without".split())
+#: Words that wrappers of whole pages carry too: a branch that has them stays if it holds more than SHARE of its scope's text.
+LAYOUT = frozenset("sidebar sidebars widget widgets header footer overlay banner".split())
+SHARE = 0.6
+#: How an element is cut: by layout words only, by other words of class or id, by tag, role or style.
+LAYOUT_CUT, NAME_CUT, FIRM_CUT = 1, 2, 3
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "option", "optgroup", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {
@@ -69,30 +77,35 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def is_cut(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element can't be article text, by tag, role, class and id alone."""
+def is_cut(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """How an element is marked as not being article text, by tag, role, class and id alone; 0 if not at all."""
     if tag in CUT_TAGS or (tag == "header" and not in_article):
-        return True
+        return FIRM_CUT
     if not attrs:
-        return False
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+        return FIRM_CUT
     if attrs.get("role", "").lower() in CUT_ROLES:
-        return True
-    if tag in ("body", "html", "main") or (tag == "article" and not in_article and attrs.get("class", "").lower() not in CUT_WORDS):
-        return False
+        return FIRM_CUT
+    if tag in ("body", "html", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody" or (tag == "article" and not in_article and attrs.get("class", "").lower() not in CUT_WORDS):
+        return 0
+    found = 0
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         words = [w.lower() for w in NAME_WORDS.findall(name)]
-        if words[:1] not in ABOUT and any(w in CUT_WORDS and not (in_article and w in TOPS) for w in words):
-            return True
-    return False
+        if words[:2] == ["elementor", "widget"]:
+            words = words[2:]  # any box of that page builder
+        if words[:1] not in ABOUT:
+            for before, w in zip(["", *words], words, strict=False):
+                if w in CUT_WORDS and before not in BEFORE and not (in_article and w in TOPS):
+                    found = max(found, LAYOUT_CUT if w in LAYOUT and tag in BLOCK else NAME_CUT)
+    return found
 
 
 class Node:
-    __slots__ = ("tag", "path", "cut", "article", "style", "content", "top")
+    __slots__ = ("tag", "path", "cut", "article", "branch", "style", "content", "top")
 
-    def __init__(self, tag: str, path: int, cut: bool, article: int) -> None:
-        self.tag, self.path, self.cut, self.article = tag, path, cut, article
+    def __init__(self, tag: str, path: int, cut: int, article: int, branch: int) -> None:
+        self.tag, self.path, self.cut, self.article, self.branch = tag, path, cut, article, branch
         self.style = self.content = 7
         self.top = False
 
@@ -103,21 +116,24 @@ def path_of(parent: int, tag: str, attrs: dict[str, str]) -> int:
 
 
 class Page:
-    """Walks a page once: `seen` counts (path, what, value) of its elements; `blocks` are (root, text), with root 0 outside articles and main parts."""
+    """Walks a page once: `seen` counts (path, what, value) of its elements; `blocks` are (root, branch, text), with root 0 outside articles and main parts, and the innermost branch that layout words cut."""
 
     def __init__(self, low: frozenset[int] = frozenset(), low_inside: frozenset[int] = frozenset(), counting: bool = False) -> None:
         self.low, self.low_inside, self.counting = low, low_inside, counting
         self.seen: Counter = Counter()
-        self.blocks: list[tuple[int, str]] = []
+        self.blocks: list[tuple[int, int, str]] = []
         self.parts: list[str] = []
         self.roots = 0
+        #: The branch around each branch, and the roots found in cut branches: whether they are sure to be the page's.
+        self.around = [0]
+        self.late: dict[int, bool] = {}
 
     def flush(self, node: Node) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
-                self.blocks.append((node.article, text))
+                self.blocks.append((node.article, node.branch, text))
 
     def close(self, stack: list[Node], at: int) -> None:
         while len(stack) > at:
@@ -136,11 +152,11 @@ class Page:
         if self.counting:
             if raw.strip():
                 top.content = (top.content * 1000003 + xxhash.xxh64_intdigest(raw.encode("utf-8", "replace"))) & MASK
-        elif not top.cut:
+        elif top.cut <= LAYOUT_CUT:
             self.parts.append(html.unescape(raw) if "&" in raw else raw)
 
     def walk(self, source: str) -> Page:
-        stack = [Node("", 0, False, 0)]
+        stack = [Node("", 0, 0, 0, 0)]
         at = 0
         while at < len(source):
             m = TOKEN.search(source, at)
@@ -173,7 +189,7 @@ class Page:
             self.close_open(stack, SIBLINGS[tag])
         top = stack[-1]
         if tag in VOID:
-            if not self.counting and not top.cut:
+            if not self.counting and top.cut <= LAYOUT_CUT:
                 if tag == "hr":
                     self.flush(top)
                 elif tag == "br":
@@ -182,19 +198,25 @@ class Page:
         if tag in BLOCK:
             self.flush(top)
         path = path_of(top.path, tag, attrs)
-        cut = top.cut or is_cut(tag, attrs, bool(top.article))
-        if not cut and (path in self.low and not top.article and tag not in ("html", "body", "article", "main") or path in self.low_inside and top.article and tag not in HEADINGS and tag in BLOCK and tag != "p"):
-            cut = True
-        article = top.article
-        if not cut and not article and (tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"):
+        own = is_cut(tag, attrs, bool(top.article))
+        if (path in self.low and not top.article and tag not in ("html", "body", "article", "main") or path in self.low_inside and top.article and tag not in HEADINGS and tag in BLOCK and tag != "p"):
+            own = FIRM_CUT
+        article, branch, cut = top.article, top.branch, max(top.cut, own)
+        sure = tag == "main" or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
+        if not own and not article and (sure and top.cut < FIRM_CUT or tag == "article" and top.cut <= LAYOUT_CUT):
             self.roots += 1
-            article = self.roots
+            if top.cut:
+                self.late[self.roots] = sure
+            article, branch, cut = self.roots, 0, 0
         elif not cut and tag == "article" and article and next(n.tag for n in stack if n.article == article) != "article":
             self.roots += 1  # an article inside the main part is a root of its own
             article = self.roots
         if not cut and top.top and tag not in HEADINGS and tag not in ("hgroup", "div"):
-            cut = True  # of an article's top the headings stay
-        node = Node(tag, path, cut, article)
+            cut = FIRM_CUT  # of an article's top the headings stay
+        if own == cut == LAYOUT_CUT:
+            self.around.append(branch)
+            branch = len(self.around) - 1
+        node = Node(tag, path, cut, article, branch)
         node.top = bool(article) and (tag == "header" or top.top and tag in ("hgroup", "div") or any(w.lower() in TOPS for w in NAME_WORDS.findall(attrs.get("class", "")))) if attrs or tag == "header" or top.top else False
         stack.append(node)
 
@@ -215,14 +237,34 @@ class Page:
             if tag not in BLOCK and stack[i].tag in SCOPES:
                 return
 
+    def staying(self) -> list[tuple[int, str]]:
+        """(root, text) of the blocks that no layout words cut, or that lie in branches with most of their scope's text."""
+        if len(self.around) == 1:
+            return [(root, text) for root, _, text in self.blocks]
+        sizes: Counter = Counter()
+        scopes: dict[int, int] = {}
+        for root, branch, text in self.blocks:
+            sizes["root", root] += len(text)
+            while branch:
+                sizes[branch] += len(text)
+                scopes[branch] = root
+                branch = self.around[branch]
+        stays = {0: True}
+        for branch, around in enumerate(self.around[1:], 1):
+            scope = sizes[around] if around else sizes["root", scopes.get(branch, 0)]
+            stays[branch] = stays[around] and sizes[branch] > SHARE * scope
+        return [(root, text) for root, branch, text in self.blocks if stays[branch]]
+
     def main_text(self) -> str:
-        """The blocks of the article with most text, or all where there is none."""
+        """The blocks of the article with most text, or all where there is none; articles in cut branches only where there is no other."""
+        blocks = self.staying()
         sizes: Counter = Counter()
-        for root, text in self.blocks:
+        for root, text in blocks:
             sizes[root] += len(text)
-        inside = [r for r in sizes if r]
+        sure = [r for r in sizes if r and self.late.get(r, True)]
+        inside = [r for r in sure if r not in self.late] or sure or [r for r in sizes if r and sizes[r] > sizes[0]]
         best = max(inside, key=lambda r: (sizes[r], -r)) if inside else 0
-        return "\n".join(text for root, text in self.blocks if root == best)
+        return "\n".join(text for root, text in blocks if root == best)
 
 
 def host(url: Column) -> Column:

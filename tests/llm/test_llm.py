@@ -419,6 +419,23 @@ def test_html_main_learns_a_site(spark):
     assert got[100].startswith("Welcome")
 
 
+WRAPPED = [
+    ("<div class='content-sidebar-wrap'><main><article><p>one text</p></article></main><aside>s</aside></div>", "one text"),
+    ("<div class='content-sidebar-wrap'><article><p>one text</p></article><div class=sidebar>links</div></div>", "one text"),
+    ("<div class='main-content right-sidebar'><div><p>a text of some length that is the page's own</p></div><div class=sidebar><p>links</p></div></div>", "a text of some length that is the page's own"),
+    ("<div class='content-with-sidebar'><p>kept</p></div><div id=comments><p>a longer comment than text</p></div>", "kept"),
+    ("<div class='elementor-element elementor-widget elementor-widget-text-editor'><div class='elementor-widget-container'><p>one</p></div></div><div class='elementor-widget elementor-widget-theme-post-content'><p>two</p></div>", "one\ntwo"),
+    ("<div class='overflow-hidden'><p>kept</p></div>", "kept"),
+    ("<div class='menu-open search'><div itemprop=articleBody><p>kept</p></div><p>other</p></div>", "kept"),
+    ("<div class=post><p>the text of a post</p></div><div class=sidebar><article><p>teaser</p></article></div><div class=comments><article><p>a comment that is longer than the post</p></article></div>", "the text of a post"),
+]
+
+
+def test_html_main_wrappers():
+    for page, want in WRAPPED:
+        assert html_main.Page().walk(page).main_text() == want
+
+
 def test_html_main_copies_count_once(spark):
     page = "<body><div class=content><p>story {0} about {0}</p></div><div class=q3>Call us</div></body>"
     inside = "<article><div class='entry-content'><p>the only page</p></div></article>"
