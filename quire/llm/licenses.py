@@ -11,6 +11,8 @@ itself; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 FAMILIES = [
     ("apache", "apache", ["apache( software)? license"], ["2 0", "1 1", "1 0"]),
     ("mit", "mit", ["mit license", "mit expat license", "expat license"], []),
-    ("mit-0", "mit", ["mit no attribution( license)?", "mit 0"], []),
+    ("mit-0", "mit no attribution", ["mit no attribution( license)?"], []),
+    ("mit-0", "mit 0", ["mit 0"], []),
     ("bsd-2-clause", "bsd", ["bsd 2 clause( simplified)?( license)?", "simplified bsd license", "freebsd license"], []),
     ("bsd-3-clause", "bsd", ["bsd 3 clause( new| revised)?( license)?", "(new|revised|modified) bsd license"], []),
     ("bsd-4-clause", "bsd", ["bsd 4 clause( license)?", "original bsd license"], []),
@@ -83,10 +86,9 @@ FAMILIES = [
 #: Sentences without a license's name: label, keyword, pattern.
 NOTICES = [
     ("reserved", "reserved", "all rights (are )?reserved"),
-    ("reserved", "reserved", "alle rechte vorbehalten|tous droits reserves"),
-    ("reserved", "rechte", "alle rechte vorbehalten"),
-    ("reserved", "droits", "tous droits réservés"),
-    ("reserved", "derechos", "todos los derechos reservados"),
+    ("reserved", "vorbehalten", "alle rechte vorbehalten"),
+    ("reserved", "tous droits", "tous droits (réservés|reserves)"),
+    ("reserved", "reservados", "todos los derechos reservados"),
     ("public-domain", "public domain", "(is|are|was|been|released|placed|dedicated)( in| into| to)? the public domain"),
     ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
@@ -120,19 +122,27 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return out
 
 
-#: Where none of these occurs in the lower-cased text, no rule and no phrase can match.
-GATES = ["licen", "reserved", "reservados", "vorbehalten", "réservés", "copyright", "spdx", "public domain", "permi", "proprietary", "cc0", "gpl", "mpl", "bsd", "mit-0", "mit 0", "wtfpl", "eupl", "creative commons", "mit no attribution"]
-CC_BY = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
-
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def gates() -> list[str]:
+    """Words of which each rule's matches hold one: "licen" where a pattern always has it, else the rule's keyword; phrases likewise."""
+    out = {"licen" if "licen" in phrase else phrase for phrase in PHRASES}
+    out |= {keyword for _, keyword, _ in NOTICES}
+    for _, keyword, names, _ in FAMILIES:
+        out |= {"licen" if "licen" in re.sub(r"\([^()]*\)\?", "", name) else keyword for name in names}
+    return sorted(g for g in out if not any(other != g and f" {other} " in f" {g} " for other in out))
+
+
 def _gate(text: Column) -> Column:
+    """Whether any gate occurs; between its words there may be whatever parts words."""
     low, found = F.lower(text), F.lit(False)
-    for g in GATES:
-        found = found | F.contains(low, F.lit(g))
-    return found | text.rlike(CC_BY)
+    for g in sorted(gates(), key=lambda g: " " in g):
+        words = g.split()
+        one = F.contains(low, F.lit(max(words, key=len)))
+        found = found | (one & low.rlike(_BREAKS.join(map(re.escape, words))) if len(words) > 1 else one)
+    return found
 
 
 def _spans(words: Column, pattern: Column) -> Column:

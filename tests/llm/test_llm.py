@@ -387,6 +387,25 @@ def test_licenses(docs, texts, spark):
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def test_licenses_across_breaks(spark):
+    cases = [
+        ("released into the public\ndomain", "public-domain"),
+        ("Creative\nCommons Attribution", "cc-by"),
+        ("Creative_Commons -- Zero", "cc0"),
+        ("MIT_0", "mit-0"),
+        ("the MIT\t0", "mit-0"),
+        ("MIT No\nAttribution", "mit-0"),
+        ("Tous droits\nreserves", "reserved"),
+        ("Tous_droits réservés", "reserved"),
+        ("alle Rechte\nvorbehalten", "reserved"),
+        ("Redistribution and use in\nsource and binary forms, with or without\nmodification, are permitted", "bsd"),
+        ("a public place, domain of none", ""),
+    ]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(len(cases))] == [want for _, want in cases]
+    assert all((got[i]["n_detections"] > 0) == (got[i]["score"] > 0) == bool(want) for i, (_, want) in enumerate(cases))
+
+
 PAGES = [
     ("<article><h1>T &amp; t</h1><p>a\n  b<br>c<p>d <i>e</i></article><footer>f</footer>", "T & t\na b c\nd e"),
     ("<body><header>Site</header><nav>menu</nav><main><p>x</p><aside>side</aside><form>f</form></main></body>", "x"),
