@@ -143,15 +143,64 @@ def test_lattice_sums_all_segmentations():
         assert expected.sum() > 0
 
 
-def test_lm_learns(docs):
-    totals = docs.select(F.explode(F.split("text", r"\s+")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).select(F.col("w").cast("binary").alias("word"), "n")
-    words = [(bytes(r["word"]), r["n"]) for r in totals.collect()]
+def packed_totals(spark, counts):
+    """(words, counts) rows as the operator packs them, in three buckets."""
+    rows = []
+    for k in range(3):
+        part = [(w, n) for i, (w, n) in enumerate(sorted(counts.items())) if i % 3 == k]
+        rows.append((bytearray(lm_score.packed_words([w for w, _ in part])), bytearray(lm_score.packed_numbers(np.asarray([n for _, n in part], "<u8")))))
+    return spark.createDataFrame(rows, "words binary, counts binary")
+
+
+def test_lm_learns(spark, texts):
+    counts = Counter(w for t in texts.values() for w in (t or "").encode().split())
+    words, n = list(counts), np.asarray(list(counts.values()))
     pieces = lm_score.pieces_of(lm_score.default_pieces())
-    fit = [lm_score.Lattice(pieces, lm_score.fit(totals, 200, rounds=k)).words([w for w, _ in words]) for k in (0, 1, 2)]
-    scores = [float((x * [n for _, n in words]).sum()) for x in fit]
+    totals = packed_totals(spark, counts)
+    scores = [float((lm_score.Lattice(pieces, lm_score.fit(totals, 200, rounds=k)).words(words) * n).sum()) for k in (0, 1, 2)]
     assert scores[0] < scores[1] < scores[2]
 
 
+def test_lm_packing_round_trip():
+    rng = np.random.default_rng(2)
+    for kind in ("<u4", "<u8", "<f8"):
+        for n in (0, 1, 1000):
+            values = (rng.random(n) * 1e6).astype(kind)
+            assert (lm_score.unpacked_numbers(lm_score.packed_numbers(values), kind) == values).all()
+    assert lm_score.unpacked_words(lm_score.packed_words([b"a", b"\xff\x00", b"bc"])) == [b"a", b"\xff\x00", b"bc"]
+
+
+def test_lm_documents_against_plain_python(spark, docs, texts, monkeypatch):
+    """Chunks of few tokens and many buckets; each text is the sum over its words and one end."""
+    train = Counter(w for d, t in texts.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in lower(t).split())
+    n_train = sum(zlib.crc32(str(d).encode()) % 7 != 2 for d in texts)
+    pieces = lm_score.pieces_of(lm_score.default_pieces())
+    fitted = lm_score.Lattice(pieces, lm_score.fit(packed_totals(spark, train), n_train))
+    first = lm_score.Lattice(pieces, np.log(pieces.first / pieces.first.sum()))
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 2000)
+    words = sorted({w for t in texts.values() for w in lower(t).split()})
+    price = {name: dict(zip(words, lattice.words(words).tolist(), strict=True)) for name, lattice in (("score", fitted), ("vocab_score", first))}
+    ends = {"score": fitted.logp[-1], "vocab_score": first.logp[-1]}
+    for r in lm_score.lm_score(docs).collect():
+        for name, of in price.items():
+            assert r[name] == pytest.approx((sum(of[w] for w in lower(texts[r["doc_id"]]).split()) + ends[name]) / math.log(10), rel=1e-9)
+
+
+def test_lattice_of_a_long_word_is_the_same(monkeypatch):
+    pieces = lm_score.pieces_of(lm_score.default_pieces())
+    lattice = lm_score.Lattice(pieces, np.log(pieces.first / pieces.first.sum()))
+    words = [b"thequickbrownfox" * 3, "éa中🙂".encode() * 9, b"x" * 50]
+    got = []
+    for longest, step in ((256, 100_000), (8, 100_000), (8, 7)):
+        monkeypatch.setattr(lm_score, "LONG_WORD", longest)
+        monkeypatch.setattr(lm_score, "LONG_STEP", step)
+        expected = np.zeros(pieces.size)
+        got.append((lattice.words(words, np.asarray([2.0, 1.0, 3.0]), expected), expected))
+    for price, expected in got[1:]:
+        assert price == pytest.approx(got[0][0])
+        assert expected == pytest.approx(got[0][1])
+
+
 def shingles(text, n):
     w = lower(text).split()
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
