@@ -37,6 +37,13 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, n: int) -> list[str]:
+    """n names of columns that docs doesn't have, for use beside its own."""
+    taken = {c.lower() for c in docs.columns}
+    names = (f"own_{i}" for i in range(n + len(taken)))
+    return [name for name in names if name not in taken][:n]
+
+
 #: A table of at most so many short rows (ids and keys, some 32 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -6,7 +6,8 @@ full 32-byte digest and the winner's doc_id. A new digest is looked up in its sh
 the slot agree; the others are grouped among themselves.
 
 Defined cases: null text counts as empty; a null id comes after all others; of rows that agree in id and text one is kept;
-an empty table gives an empty result; other columns are ignored (`drop_repeats` carries them along).
+an empty table gives an empty result; very long texts are read whole; other columns are ignored (`drop_repeats` carries them
+along, whatever their names).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded, stored
+from quire.llm.common import bounded, stored, unused
 
 DIGEST = np.dtype("S32")
 #: Bits a key in each level of the perfect hash.
@@ -158,10 +159,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of docs that stay, with all their columns."""
     rows = digests(docs, id_col, text_col)
     gone = stored(decide(rows).where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest"), "gone")
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": digest(F.col(text_col))})
-    right = gone.select(F.col("id").alias("__gone_id"), F.col("digest").alias("__gone_digest"))
-    key = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
+    own_id, own_digest, gone_id, gone_digest = unused(docs, 4)
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_digest: digest(F.col(text_col))})
+    right = gone.select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest))
+    key = F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(own_digest) == F.col(gone_digest))
     kept = keyed.join(bounded(right), key, "left_anti")
     if rows.where("copies > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__id", "__digest"])
+        kept = kept.dropDuplicates([own_id, own_digest])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,6 +7,13 @@ import numpy as np
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9)
 
 
+def mixed(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes carried on by one more number each."""
+    with np.errstate(over="ignore"):
+        h = (h ^ codes.astype("u8")) * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(32))
+
+
 class Table:
     """Numbers by 64-bit key: a table sparse enough that few keys collide, a smaller one for those, and so on."""
 

@@ -1,15 +1,18 @@
 """Language identification, word first with backoff to character n-grams.
 
-Known words add their log frequency in each language. An unseen word backs off: its longest character n-grams that the model
-knows add theirs, shorter ones where longer ones are unseen, down to single characters. A text's language is the one with the
-greatest sum; its score is the share of that language, with the sums divided by the words so that long texts don't saturate.
+Known words add their log frequency in each language. An unseen word backs off: at each of its places the longest character
+n-gram that the model knows adds its, a shorter one where the longer is unseen, down to single characters; the word counts as
+their mean. A text's language is the one with the greatest sum; its score is the share of that language, with the sums divided
+by the words so that long texts don't saturate. Frequencies are mixed with a uniform one, which is the same for all languages,
+so that a language with few texts gains nothing from what it hasn't seen.
 
-The classifier is fitted on a bounded sample: at most about `FIT_ROWS` rows of each language, drawn by a hash of the id and
-text, in which the `MOST_WORDS` most frequent words and `MOST_GRAMS` most frequent n-grams of each language are kept. At most
-`MOST_LANGUAGES` languages are learned, the most frequent.
+The classifier is fitted on a bounded sample, drawn by a hash of the id and text: about `FIT_ROWS` rows of each language, fewer
+where there are so many languages that they would be more than `FIT_TOTAL` together, but `LEAST_ROWS` always. All languages are
+learned, with all words and n-grams that the sample holds `LEAST_COUNT` times in a language.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; without any language learned all is `und`; each row
-is predicted for itself; other columns are ignored; an empty table gives an empty result.
+is predicted for itself; other columns are ignored; an empty table gives an empty result; very long texts and words are read
+whole.
 """
 
 from __future__ import annotations
@@ -23,46 +26,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import stored, text_slices
+from quire.llm.hashing import Table, mixed
 
-FIT_ROWS = 20_000
-MOST_WORDS, MOST_GRAMS, MOST_LANGUAGES = 50_000, 50_000, 256
+#: Rows of a language that the model learns from, about; of all languages together; and of a language in any case.
+FIT_ROWS, FIT_TOTAL, LEAST_ROWS = 5_000, 100_000, 20
+#: Times that the sample holds what the model keeps; share of the uniform frequency.
+LEAST_COUNT, UNIFORM = 2, 0.05
 LONGEST = 4
-#: Words remembered in a Python worker.
-MEMORY = 300_000
+#: Words remembered in a Python worker, and numbers held for them or for the n-grams of new words.
+MEMORY, CELLS = 300_000, 4_000_000
 EDGES = ".,;:!?\"'()[]{}<>|%&$#*+-_=/\\0123456789"
 
 
-class Model:
-    """Log frequencies of words and n-grams, a row each with a column for each language."""
+class Rows:
+    """A row of log frequencies for each item, a column for each language; only what differs from `floor` is held."""
 
-    def __init__(self, languages: list[str], words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]) -> None:
+    def __init__(self, column: np.ndarray, item: np.ndarray, n: np.ndarray, items: int, languages: int) -> None:
+        order = np.argsort(item, kind="stable")
+        item, n, self.column = item[order], n[order].astype("f8"), column[order].astype("i4")
+        self.first = np.searchsorted(item, np.arange(items + 1))
+        total = np.maximum(np.bincount(column, n[np.argsort(order)], languages), 1)
+        self.floor = float(np.log(UNIFORM / (items + 1)))
+        self.more = (np.log((1 - UNIFORM) * n / total[self.column] + UNIFORM / (items + 1)) - self.floor).astype("f4")
         self.languages = languages
-        self.words, self.word_rows = self._table(words)
-        self.grams, self.gram_rows = self._table(grams)
 
-    def _table(self, counts: list[tuple[str, str, int]]) -> tuple[dict[str, int], np.ndarray]:
+    def get(self, items: np.ndarray) -> np.ndarray:
+        sizes = self.first[items + 1] - self.first[items]
+        at = np.arange(sizes.sum()) + np.repeat(self.first[items] - (np.cumsum(sizes) - sizes), sizes)
+        out = np.full((len(items), self.languages), self.floor, "f4")
+        out[np.repeat(np.arange(len(items)), sizes), self.column[at]] += self.more[at]
+        return out
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def window_hashes(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    h = np.full(len(at), np.uint64(length) * np.uint64(0xD6E8FEB86659), "u8")
+    for k in range(length):
+        h = mixed(h, codes[at + k])
+    return h
+
+
+class Model:
+    """Words and n-grams with their rows."""
+
+    def __init__(self, languages: list[str], words: tuple[list[str], list[str], np.ndarray], grams: tuple[list[str], list[str], np.ndarray]) -> None:
+        """From (language, item, count) of words and of n-grams, as columns."""
+        self.languages = languages
+        self.words, self.word_rows = self._rows(*words)
+        index, self.gram_rows = self._rows(*grams)
+        keys, ids = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
+        for length in range(1, LONGEST + 1):
+            own = [g for g in index if len(g) == length]
+            keys.append(window_hashes(code_points(own), np.arange(len(own)) * length, length))
+            ids.append(np.asarray([index[g] for g in own], "i8"))
+        self.grams = Table(np.concatenate(keys), np.concatenate(ids))
+
+    def _rows(self, langs: list[str], items: list[str], counts: np.ndarray) -> tuple[dict[str, int], Rows]:
         column = {lang: i for i, lang in enumerate(self.languages)}
         index: dict[str, int] = {}
-        rows = [index.setdefault(x, len(index)) for _, x, _ in counts]
-        table = np.zeros((len(index), len(self.languages)))
-        for row, (lang, _, n) in zip(rows, counts, strict=True):
-            table[row, column[lang]] += n
-        total = table.sum(axis=0)
-        return index, np.log((table + 0.5) / (total + 0.5 * (len(index) + 1))).astype("f4")
-
-    def word(self, word: str) -> np.ndarray:
-        """One row: of the word itself, or the mean over its places of the longest known n-gram there."""
-        row = self.words.get(word)
-        if row is not None:
-            return self.word_rows[row]
-        padded, found = f" {word} ", []
-        for i in range(len(padded)):
-            for n in range(min(LONGEST, len(padded) - i), 0, -1):
-                row = self.grams.get(padded[i : i + n])
-                if row is not None:
-                    found.append(row)
-                    break
-        return self.gram_rows[found].mean(axis=0) if found else np.zeros(len(self.languages), "f4")
+        item = np.asarray([index.setdefault(x, len(index)) for x in items], "i8")
+        return index, Rows(np.asarray([column[x] for x in langs], "i8"), item, np.asarray(counts), len(index), len(self.languages))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own, or the mean over its places of the longest known n-gram there."""
+        out = np.zeros((len(words), len(self.languages)), "f4")
+        known = np.fromiter((self.words.get(w, -1) for w in words), "i8", len(words))
+        seen = np.flatnonzero(known >= 0)
+        out[seen] = self.word_rows.get(known[seen])
+        new, step = np.flatnonzero(known < 0), max(1, CELLS // max(1, len(self.languages)))
+        sizes = np.fromiter((len(words[i]) + 2 for i in new.tolist()), "i8", len(new))
+        block = np.cumsum(sizes) // step
+        for b in np.unique(block):
+            mine = new[block == b]
+            out[mine] = self._unseen([f" {words[i]} " for i in mine.tolist()])
+        return out
+
+    def _unseen(self, padded: list[str]) -> np.ndarray:
+        codes, sizes = code_points(padded), np.fromiter(map(len, padded), "i8", len(padded))
+        word = np.repeat(np.arange(len(padded)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+        gram, open_ = np.full(len(codes), -1), np.arange(len(codes))
+        for length in range(LONGEST, 0, -1):
+            at = open_[left[open_] >= length]
+            where, ids = self.grams.find(window_hashes(codes, at, length))
+            gram[at[where]] = ids
+            open_ = np.flatnonzero(gram < 0)
+        out = np.zeros((len(padded), len(self.languages)), "f4")
+        found = np.flatnonzero(gram >= 0)
+        if len(found):
+            own, first, n = np.unique(word[found], return_index=True, return_counts=True)
+            out[own] = np.add.reduceat(self.gram_rows.get(gram[found]), first, axis=0, dtype="f8") / n[:, None]
+        return out
 
 
 def clean(piece: bytes) -> str:
@@ -81,14 +138,16 @@ class Pieces(dict):
         self.fresh.append(piece)
         return n
 
-    def _row(self, piece: bytes) -> np.ndarray:
-        word = clean(piece)
-        if not any(c.isalpha() for c in word):
-            return np.zeros(len(self.model.languages) + 1, "f4")
-        return np.r_[np.float32(1), self.model.word(word)]
+    def _new(self, pieces: list[bytes]) -> np.ndarray:
+        words = [clean(p) for p in pieces]
+        letters = np.fromiter((w[:1].isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
+        out = np.zeros((len(words), len(self.model.languages) + 1), "f4")
+        out[letters, 0] = 1
+        out[letters, 1:] = self.model.of([w for w, letter in zip(words, letters.tolist(), strict=True) if letter])
+        return out
 
     def sums(self, texts: list[bytes]) -> np.ndarray:
-        if len(self) > MEMORY:
+        if len(self) > min(MEMORY, CELLS // self.rows.shape[1]):
             self.clear()
             self.rows = self.rows[:0]
         get, numbers, sizes = self.__getitem__, [], []
@@ -98,7 +157,7 @@ class Pieces(dict):
             numbers += map(get, pieces)
         if self.fresh:
             new, self.fresh = self.fresh, []
-            self.rows = np.concatenate([self.rows, np.stack([self._row(p) for p in new])])
+            self.rows = np.concatenate([self.rows, self._new(new)])
         end = np.cumsum(sizes)
         out = np.zeros((len(texts), self.rows.shape[1]))
         numbers = np.asarray(numbers, "i8")
@@ -140,24 +199,22 @@ def _counts(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame) -> Model:
     """A model of (doc_id, text, lang); rows without text or lang teach nothing."""
     rows = rows.where("lang is not null and text is not null")
-    sizes = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not sizes:
-        return Model([], [], [])
-    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, FIT_ROWS / n))])
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("rows")), "langid-sizes")  # a row a language
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
+    each = max(LEAST_ROWS, min(FIT_ROWS, FIT_TOTAL // max(1, len(languages))))
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
-    counts = stored(_counts(sample), "langid-counts")
-    found: dict[str, list] = {"word": [], "gram": []}
-    for lang, _ in sizes:
-        for kind, most in (("word", MOST_WORDS), ("gram", MOST_GRAMS)):
-            top = counts.where((F.col("lang") == lang) & (F.col("kind") == kind)).orderBy(F.desc("n"), "item").limit(most).select("item", "n").toArrow()
-            found[kind] += [(lang, x, n) for x, n in zip(top.column("item").to_pylist(), top.column("n").to_pylist(), strict=True)]
-    return Model(sorted(lang for lang, _ in sizes), found["word"], found["gram"])
+    sample = rows.join(sizes.select("lang", (each / F.col("rows")).alias("share")), "lang").where(draw < F.col("share")).select("lang", "text")
+    counts = stored(_counts(sample).where(F.col("n") >= LEAST_COUNT), "langid-counts")
+    found = []
+    for kind in ("word", "gram"):  # what the driver gets is bounded by the sample
+        own = counts.where(F.col("kind") == kind).orderBy("lang", "item").select("lang", "item", "n").toArrow()
+        found.append((own.column("lang").to_pylist(), own.column("item").to_pylist(), own.column("n").to_numpy()))
+    return Model(languages, *found)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of each row, from the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS, MOST_GRAMS and MOST_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import stored, text_slices
-from quire.llm.hashing import Table
+from quire.llm.hashing import Table, mixed
 
 #: Rounds of expectation maximisation, and what each piece's expected count gets added.
 ROUNDS, ADDED = 3, 0.1
@@ -76,17 +76,11 @@ def unpacked_numbers(packed: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).reshape(-1)
 
 
-def _step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ codes.astype("u8")) * np.uint64(0xFF51AFD7ED558CCD)
-        return h ^ (h >> np.uint64(32))
-
-
 def hashed(codes: np.ndarray) -> np.ndarray:
     """Hashes of rows of code points."""
     h = np.zeros(len(codes), "u8")
     for k in range(codes.shape[1]):
-        h = _step(h, codes[:, k])
+        h = mixed(h, codes[:, k])
     return h
 
 
@@ -167,7 +161,7 @@ class Lattice:
         for s in range(n):
             rows, h = np.arange(m), np.zeros(m, "u8")
             for e in range(s + 1, min(n, s + self.pieces.longest) + 1):
-                h = _step(h, codes[rows, e - 1])
+                h = mixed(h, codes[rows, e - 1])
                 alive, piece = self.pieces.table.find(h)
                 if not len(alive):
                     break  # no piece begins so
@@ -207,7 +201,7 @@ class Lattice:
             for length in range(1, self.pieces.longest + 1):
                 inside = rows + length <= n
                 rows = rows[inside]
-                h = _step(h[inside], codes[rows + length - 1])
+                h = mixed(h[inside], codes[rows + length - 1])
                 alive, piece = self.pieces.table.find(h)
                 if not len(alive):
                     break

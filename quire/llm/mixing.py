@@ -8,7 +8,8 @@ differ in size, what the first that doesn't fit leaves open is offered to the la
 and at last to the document nearest in size.
 
 Defined cases: null text has size 0; a null source is a source of its own, after all others; rows that agree in id, text and
-source are drawn together; a source without words gets target 0; an empty table gives an empty result.
+source are drawn together; a source without words gets target 0; an empty table gives an empty result; very long texts count whole; other
+columns are ignored (`mixture` carries them along, whatever their names).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, word_count
+from quire.llm.common import stored, unused, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -117,7 +118,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix with all their columns, each as often as the mix takes it."""
     rows = drawn(docs, weights, most_copies, id_col, text_col, source_col)
-    times = stored(rows.where("times > 0").select(F.col("key").alias("__key"), F.col("times").alias("__times")), "mix-times")
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col), F.col(source_col)))
-    out = keyed.join(times, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    own_key, own_times, copy = unused(docs, 3)
+    times = stored(rows.where("times > 0").select(F.col("key").alias(own_key), F.col("times").alias(own_times)), "mix-times")
+    keyed = docs.withColumn(own_key, row_key(F.col(id_col), F.col(text_col), F.col(source_col)))
+    out = keyed.join(times, own_key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own_times).cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

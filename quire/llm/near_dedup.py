@@ -8,7 +8,7 @@ node in any bucket has can't be shared, which leaves most with too few. What rem
 held against each other in cells of bounded size. So a large group of copies doesn't become all its pairs as rows, and no link
 that the bands find is lost.
 
-Bands: 25 of 5 values from 64 permutations miss a pair of similarity 0.85 with probability 4e-7, one of 0.8 with 5e-5.
+Bands: 25 of 5 values from 63 permutations (the last one's greatest value is not used) miss a pair of similarity 0.85 with probability 4e-7, one of 0.8 with 5e-5.
 
 Defined cases: null text counts as empty; documents without words are linked with nothing; fewer words than a shingle has are
 one shingle; rows with a null id are left alone; rows that share an id are one node each per text; other columns are ignored
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded, stored, text_slices
+from quire.llm.common import bounded, stored, text_slices, unused
 from quire.llm.graph import components
 
 BANDS, ROWS = 25, 5
@@ -263,5 +263,7 @@ def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str =
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one of each component stays (the smallest id), with all their columns."""
-    gone = stored(link(docs, words, percent, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(bounded(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    own_id, gone_id = unused(docs, 2)
+    gone = stored(link(docs, words, percent, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")
+    kept = docs.withColumn(own_id, F.col(id_col).cast("long")).join(bounded(gone), F.col(own_id) == F.col(gone_id), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,6 +30,7 @@ ODD = [
     (7, "\x00  <|endoftext|> Ünḯ ΣΑΣ 中文 🙂 All Rights—Reserved CC-BY cc by", None, "c"),
     (8, "one", "de", "c"),
     (9, "\n \t", "de", "c"),
+    (10, "x" * 200_000 + " " + "yz" * 30_000, "de", "c"),
 ]
 
 
@@ -74,6 +75,25 @@ def test_odd_and_empty_tables(odd, empty, operator):
         assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ODD)
 
 
+CARRIERS = {
+    "drop_repeats": exact_dedup.drop_repeats,
+    "keep_one": near_dedup.keep_one,
+    "mixture": mixing.mixture,
+    "keep_good": quality.keep_good,
+}
+
+
+@pytest.mark.parametrize("name", CARRIERS)
+def test_carriers_keep_columns_of_any_name(odd, name):
+    """Columns with names that the operators might use come out as they went in, of odd and repeated rows too."""
+    names = ["__key", "__gone", "__digest", "__id", "own_0", "OWN_1", "own_2", "own_3", "key", "bucket", "node", "lang_key"]
+    clashing = odd.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("text"), F.lit(""))).alias(n) for n in names])
+    out = CARRIERS[name](clashing)
+    assert out.columns == clashing.columns
+    for r in out.collect():
+        assert all(r[n] == f"{n}:{r['text'] or ''}" for n in names)
+
+
 def folded(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
@@ -342,13 +362,14 @@ def test_quality_base(docs, texts):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_quality_keeps_clean_and_rejects_noise(docs, spark):
+def test_quality_keeps_clean_and_rejects_noise(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
-    rows = docs.collect()
+    rows = [r for r in docs.collect() if not judged[r["doc_id"]]["base_failed"]]
     noisy = [r["doc_id"] for r in rows if len(re.findall(r"(%%%|&&&|\*\*\*|\$\$\$|###)", r["text"])) > 0.5 * len(r["text"].split())]
-    plain = [r["doc_id"] for r in rows if not judged[r["doc_id"]]["base_failed"] and judged[r["doc_id"]]["n_symbols"] == 0]
-    assert not any(judged[d]["kept"] for d in noisy)
-    assert all(judged[d]["kept"] for d in plain)
+    plain = [r["doc_id"] for r in rows if judged[r["doc_id"]]["n_symbols"] == 0]
+    assert sum(judged[d]["kept"] for d in noisy) <= 0.1 * len(noisy) and len(noisy) > 20
+    assert sum(judged[d]["kept"] for d in plain) >= 0.995 * len(plain)
 
 
 def test_quality_band_holds_against_junk(docs, spark):
@@ -366,38 +387,94 @@ def test_quality_band_holds_against_junk(docs, spark):
     assert all(rows[d]["kept"] for d, _ in clean if not rows[d]["base_failed"])
 
 
-def test_quality_model_of_a_small_language_beside_a_large_one(spark, monkeypatch):
-    """A language's model is that of all its own 5-grams, whatever others there are and however many n-grams they have."""
-    monkeypatch.setattr(quality, "MOST_GRAMS", 300, raising=False)
-    rng = np.random.default_rng(5)
-    syllables = {"big": "ba ke ti mo su ra ne li po du", "small": "che vu zo ga fi"}
-    made = {lang: [" ".join("".join(rng.choice(s.split(), 3)) for _ in range(60)) for _ in range(120 if lang == "big" else 6)] for lang, s in syllables.items()}
-    junk = " ".join("".join(rng.choice(list("qxjw#%&*"), 6)) for _ in range(40))
-    rows = [(i, t, lang) for lang, texts in made.items() for i, t in enumerate(texts, 1000 * len(lang))] + [(1, junk, "small")]
-    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    for lang, texts in made.items():
-        grams = Counter(f"    {w} "[i : i + 5] for t in texts for w in t.split() for i in range(len(w) + 1))
-        model = quality.KneserNey({0: (np.asarray([[ord(c) for c in g] for g in grams], "u4"), np.asarray(list(grams.values())))})
-        for i, t in enumerate(texts, 1000 * len(lang)):
-            assert got[i]["log_ppl"] == pytest.approx(-model.words(0, t.split()).sum() / (len(t) + 1), rel=1e-4)
-            assert got[i]["kept"]
-    assert not got[1]["kept"] and not got[1]["base_failed"]
-
-
-def test_kneser_ney_sums_to_one():
-    words = {"aba": 3, "ab": 2, "ca": 1, "bac": 4}
-    grams = Counter()
-    for w, n in words.items():
-        padded = "    " + w + " "
-        for i in range(len(w) + 1):
-            grams[padded[i : i + 5]] += n
-    codes = np.asarray([[ord(c) for c in g] for g in grams], "u4")
-    model = quality.KneserNey({0: (codes, np.asarray(list(grams.values())))})
-    # all words of up to n letters, with the mass of longer ones bounded by that of their beginnings
-    total = sum(math.exp(model.words(0, ["".join(w)])[0]) for n in range(7) for w in product("abc", repeat=n))
-    assert 0.5 < total < 1.0
-    assert model.words(0, ["aba"])[0] > model.words(0, ["zzz"])[0]
-    assert model.words(9, ["aba"])[0] == 0
+class PlainKneserNey:
+    """The model of one language by dictionaries; grams holds counts of 5-grams."""
+
+    def __init__(self, grams, languages, kept):
+        self.counts = {5: dict(grams)}
+        for k in (4, 3, 2, 1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.d, self.least = {}, {}
+        for k, counts in self.counts.items():
+            n = [max(1, sum(c == j for c in counts.values())) for j in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            self.d[k] = [0, *(min(max(j + 1 - (j + 2) * y * n[j + 1] / n[j], 0.1), j + 0.9) for j in range(3))]
+            self.least[k] = languages * sum(counts.values()) / kept
+        self.total, self.mass = defaultdict(int), defaultdict(float)
+        for k, counts in self.counts.items():
+            for g, c in counts.items():
+                self.total[k, g[:-1]] += c
+                if c >= self.least[k]:
+                    self.mass[k, g[:-1]] += c - self.d[k][min(c, 3)]
+
+    def p(self, gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(self.counts[1]) + 1)
+        c, context, more = self.counts[k].get(gram, 0), (k, gram[:-1]), self.p(gram[1:])
+        if context not in self.mass:
+            return more
+        own = (c - self.d[k][min(c, 3)]) / self.total[context] if c and c >= self.least[k] else 0
+        return own + max(1 - self.mass[context] / self.total[context], 1e-9) * more
+
+
+def streams(words):
+    return "    " + " ".join(words) + " " if words else ""
+
+
+def grams_of(texts):
+    return Counter(s[i : i + 5] for s in map(streams, texts) for i in range(len(s) - 4))
+
+
+@pytest.mark.parametrize("kept", [2_000_000, 2_000])
+def test_quality_model_against_plain_python(docs, texts, monkeypatch, kept):
+    """Each language's model is of its own different texts, also beside larger ones and where rare n-grams aren't kept."""
+    monkeypatch.setattr(quality, "KEPT", kept)
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    models = {x: PlainKneserNey(grams_of(t.split() for t in {texts[d] for d in texts if lang[d] == x}), len(set(lang.values())), kept) for x in set(lang.values())}
+    seen = {}
+    for r in quality.judge(docs).collect():
+        s = streams(texts[r["doc_id"]].split())
+        want = 0.0
+        for i in range(len(s) - 4):
+            key = lang[r["doc_id"]], s[i : i + 5]
+            if key not in seen:
+                seen[key] = math.log(models[key[0]].p(key[1]))
+            want += seen[key]
+        assert r["log_ppl"] == pytest.approx(-want / max(1, len(texts[r["doc_id"]].split())), rel=1e-4)
+
+
+@pytest.mark.parametrize("kept", [2_000_000, 30])
+def test_kneser_ney_sums_to_one(spark, monkeypatch, kept):
+    monkeypatch.setattr(quality, "KEPT", kept)
+    rows = [("l", "aba ab ca bac aba bac bac aba"), ("l", "ab ab cab"), ("m", "xyz zyx xx yy")]
+    number, model = quality.train(spark.createDataFrame(rows, "lang string, text string"))
+    for lang, letters in (("l", "abc "), ("m", "xyz ")):
+        for context in product(letters + "?", repeat=4):
+            codes = [np.asarray([ord(x) for x in "".join(context) + last], "<u4") for last in letters + "!"]
+            assert sum(math.exp(model.stream(number[lang], c)[-1]) for c in codes) == pytest.approx(1, abs=1e-5)
+
+
+def test_gram_counts_of_many_characters():
+    """More characters than a key can hold: counts come out in parts."""
+    rng = np.random.default_rng(4)
+    texts = [[chr(0x4E00 + int(x)) for x in rng.integers(0, 9000, 3000)], ["ab", "𝒳𝒴", "ab"], []]
+    codes, sizes = quality.streamed([[w.encode() for w in t] for t in texts])
+    held, got = quality.GramCounts(), Counter()
+    for _ in range(2):
+        for batch in [*held.add("x", codes, quality.characters(sizes)), *held.flush()]:
+            for r in batch.to_pylist():
+                got[r["gram"]] += r["n"]
+    assert got == Counter({g: 2 * n for g, n in grams_of(texts).items()})
+
+
+def test_sorted_hashes():
+    rng = np.random.default_rng(6)
+    keys = np.unique(np.r_[rng.integers(0, 1 << 64, 5000, dtype="u8"), np.arange(50, dtype="u8")])
+    table = quality.Sorted(keys[::-1].copy(), np.arange(len(keys))[::-1].copy())
+    assert (table.get(keys) == np.arange(len(keys), dtype="f4")).all()
+    assert np.isnan(table.get(keys[keys > 100] + np.uint64(1))).all()
+    assert np.isnan(quality.Sorted(keys[:0], np.zeros(0)).get(keys[:9])).all()
 
 
 def test_langid(docs, odd):
@@ -412,6 +489,57 @@ def test_langid(docs, odd):
     assert of[3] == of[4] == of[9] == {"und"} and "und" not in of[1]
 
 
+def test_langid_against_plain_python(docs):
+    """Counts, frequencies, backoff and sums by dictionaries and loops."""
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = {"word": Counter(), "gram": Counter()}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            for w in map(langid.clean, r["text"].encode().split()):
+                if any(c.isalpha() for c in w):
+                    counts["word"][r["lang"], w] += 1
+                    padded = f" {w} "
+                    counts["gram"].update((r["lang"], padded[i : i + k]) for k in (1, 2, 3, 4) for i in range(len(padded) - k + 1))
+    languages = sorted({r["lang"] for r in rows})
+    price = {}
+    for kind, found in counts.items():
+        found = {k: n for k, n in found.items() if n >= langid.LEAST_COUNT}
+        items = {x for _, x in found}
+        total = Counter()
+        for (lang, _), n in found.items():
+            total[lang] += n
+        price[kind] = {x: [math.log((1 - langid.UNIFORM) * found.get((lang, x), 0) / max(1, total[lang]) + langid.UNIFORM / (len(items) + 1)) for lang in languages] for x in items}
+
+    def word(w):
+        if w in price["word"]:
+            return price["word"][w]
+        padded, places = f" {w} ", []
+        for i in range(len(padded)):
+            hit = next((padded[i : i + k] for k in (4, 3, 2, 1) if i + k <= len(padded) and padded[i : i + k] in price["gram"]), None)
+            if hit:
+                places.append(price["gram"][hit])
+        return [sum(p[k] for p in places) / len(places) for k in range(len(languages))] if places else [0.0] * len(languages)
+
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for r in rows:
+        words = [w for w in map(langid.clean, r["text"].encode().split()) if any(c.isalpha() for c in w)]
+        mean = np.mean([word(w) for w in words], axis=0) if words else None
+        if mean is None:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+        else:
+            assert got[r["doc_id"]]["lang_pred"] == languages[int(mean.argmax())]
+            assert got[r["doc_id"]]["score"] == pytest.approx(1 / np.exp(mean - mean.max()).sum(), abs=1e-4)
+
+
+def test_langid_of_many_languages(spark):
+    """Each of 600 languages is learned, a word alone or from its parts; a language of one text wins nothing it hasn't seen."""
+    rows = [(i * 10 + k, f"wa{i}x{chr(97 + i % 26)}q tok{i}en wa{i}x{chr(97 + i % 26)}q tok{i}en".replace("0", "o").replace("1", "l"), f"l{i}") for i in range(600) for k in range(4)]
+    rows.append((99_999, "zz zz", "rare"))
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    of = {d: lang for d, _, lang in rows}
+    assert sum(r["lang_pred"] == of[r["doc_id"]] for r in got) >= 0.9 * len(got)
+
+
 def test_licenses(docs, texts, spark):
     cases = [
         (1, "Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
