@@ -1,15 +1,19 @@
 """Main text of web pages by site style trees.
 
 Pages of a host are merged to one tree whose nodes are element paths (tags with classes). A node has as many style variants as
-its elements have different sequences of children, and content variants likewise. Their entropies over the host's pages, to the
-base of the number of elements, give the node's importance: what every page has alike has none. Copies of a page count as one. Branches of low importance are
-cut from each page of hosts with enough pages. Elements that by their tag, role or class can't be article text (menus, headers,
+its elements have different sequences of children; their entropy over the host's pages, to the base of the number of elements,
+is its style importance. Its content is its pieces of text, links and images: one that d of the m pages with the node have
+counts 1 - ln d / ln m, and the importance of a node's content is the mean over all pieces that pages have in it and below it. So what
+every page has alike has no importance, and one link that differs doesn't make a menu important. Copies of a page count as one.
+Branches of low importance are cut from each page of hosts with enough pages. Elements that by their tag, role or class can't be article text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments) are cut on every host, but classes and ids don't cut a main
 part or article body below them, and words of a page's layout neither an article below them nor a branch with most text; inside an article only branches
 that aren't paragraphs or headings can be cut for importance, and never what holds the article.
 
 Defined cases: null html counts as empty (text is empty); pages without a host are a site without cuts for importance; each row
-gets a text of its own, also repeated ones; other columns are ignored; an empty table gives an empty result.
+gets a text of its own, also repeated ones; other columns are ignored; an empty table gives an empty result; very long pages are
+read whole, in time proportional to their length: elements nested deeper than `DEEPEST` stand beside each other there, as
+browsers have it.
 """
 
 from __future__ import annotations
@@ -31,6 +35,11 @@ LEAST_ELEMENTS, LOW, LOW_INSIDE = 8, 0.4, 0.05
 #: Weight of the style entropy against the content entropy.
 STYLE_WEIGHT = 0.2
 
+#: Open elements at once.
+DEEPEST = 512
+#: Of several articles of a page those stay that have this share of the longest one's text.
+ROOT_SHARE = 0.25
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset(
@@ -64,7 +73,7 @@ SIBLINGS = {
 }
 SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main body nav aside footer header form blockquote select".split())
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|([^\s=/"'>]+)""")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 MASK = (1 << 63) - 1
@@ -106,7 +115,7 @@ class Node:
 
     def __init__(self, tag: str, path: int, cut: int, article: int, branch: int) -> None:
         self.tag, self.path, self.cut, self.article, self.branch = tag, path, cut, article, branch
-        self.style = self.content = 7
+        self.style, self.content = 7, False
         self.top = False
 
 
@@ -116,11 +125,16 @@ def path_of(parent: int, tag: str, attrs: dict[str, str]) -> int:
 
 
 class Page:
-    """Walks a page once: `seen` counts (path, what, value) of its elements; `blocks` are (root, branch, text), with root 0 outside articles and main parts, and the innermost branch that layout words cut."""
+    """Walks a page once: `styles` counts (path, children), `pieces` are (path, hash) of texts, links and images, `above` has each path's parent; `blocks` are (root, branch, text), with root 0 outside articles and main parts, and the innermost branch that layout words cut."""
 
     def __init__(self, low: frozenset[int] = frozenset(), low_inside: frozenset[int] = frozenset(), counting: bool = False) -> None:
         self.low, self.low_inside, self.counting = low, low_inside, counting
-        self.seen: Counter = Counter()
+        self.styles: Counter = Counter()
+        self.pieces: set[tuple[int, int]] = set()
+        self.above: dict[int, int] = {}
+        #: Open elements by tag, and those that aren't held as they are nested too deep.
+        self.open: Counter = Counter()
+        self.deeper: Counter = Counter()
         self.blocks: list[tuple[int, int, str]] = []
         self.parts: list[str] = []
         self.roots = 0
@@ -138,34 +152,43 @@ class Page:
     def close(self, stack: list[Node], at: int) -> None:
         while len(stack) > at:
             node = stack.pop()
+            self.open[node.tag] -= 1
             if node.tag in BLOCK:
                 self.flush(node)
             if stack:
                 stack[-1].style = (stack[-1].style * 1000003 + node.path) & MASK
-                stack[-1].content = (stack[-1].content * 1000003 + node.content) & MASK
-            if self.counting and node.content != 7:
-                self.seen[node.path, 0, node.style] += 1
-                self.seen[node.path, 1, node.content] += 1
+                stack[-1].content |= node.content
+            if self.counting and node.content:
+                self.styles[node.path, node.style] += 1
+
+    def piece(self, node: Node, kind: str, value: str) -> None:
+        node.content = True
+        self.pieces.add((node.path, xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "replace")) & MASK))
 
     def text(self, stack: list[Node], raw: str) -> None:
         top = stack[-1]
         if self.counting:
             if raw.strip():
-                top.content = (top.content * 1000003 + xxhash.xxh64_intdigest(raw.encode("utf-8", "replace"))) & MASK
+                self.piece(top, "text", " ".join(raw.split()))
         elif top.cut <= LAYOUT_CUT:
             self.parts.append(html.unescape(raw) if "&" in raw else raw)
 
     def walk(self, source: str) -> Page:
         stack = [Node("", 0, 0, 0, 0)]
-        at = 0
+        at, marked = 0, source.find("<![CDATA[")
+        last = source.rfind(">") + 1  # no element begins after it
+        late = source.find("<!--", last)
         while at < len(source):
-            m = TOKEN.search(source, at)
+            m = TOKEN.search(source, at, last)
             if m is None:
-                self.text(stack, source[at:])
+                self.text(stack, source[at : late if late >= 0 else len(source)])
                 break
             if m.start() > at:
                 self.text(stack, source[at : m.start()])
             at = m.end()
+            if marked >= 0 and source.startswith("<![CDATA[", m.start()):
+                marked = source.find("]]>", m.start())
+                at = max(at, marked + 3) if marked >= 0 else at
             tag = (m[2] or "").lower()
             if not tag:
                 continue
@@ -189,7 +212,10 @@ class Page:
             self.close_open(stack, SIBLINGS[tag])
         top = stack[-1]
         if tag in VOID:
-            if not self.counting and top.cut <= LAYOUT_CUT:
+            if self.counting:
+                if tag == "img" and attrs.get("src"):
+                    self.piece(top, "image", attrs["src"])
+            elif top.cut <= LAYOUT_CUT:
                 if tag == "hr":
                     self.flush(top)
                 elif tag == "br":
@@ -213,14 +239,24 @@ class Page:
             article = self.roots
         if not cut and top.top and tag not in HEADINGS and tag not in ("hgroup", "div"):
             cut = FIRM_CUT  # of an article's top the headings stay
+        if len(stack) > DEEPEST and (not own or top.cut >= own):
+            self.deeper[tag] += 1
+            return
         if own == cut == LAYOUT_CUT:
             self.around.append(branch)
             branch = len(self.around) - 1
         node = Node(tag, path, cut, article, branch)
         node.top = bool(article) and (tag == "header" or top.top and tag in ("hgroup", "div") or any(w.lower() in TOPS for w in NAME_WORDS.findall(attrs.get("class", "")))) if attrs or tag == "header" or top.top else False
         stack.append(node)
+        self.open[tag] += 1
+        if self.counting:
+            self.above[path] = top.path
+            if tag == "a" and attrs.get("href"):
+                self.piece(node, "link", attrs["href"])
 
     def close_open(self, stack: list[Node], tags: frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 self.close(stack, i)
@@ -230,6 +266,11 @@ class Page:
                 return
 
     def end(self, stack: list[Node], tag: str) -> None:
+        if self.deeper[tag]:
+            self.deeper[tag] -= 1
+            return
+        if not self.open[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == tag:
                 self.close(stack, i)
@@ -256,7 +297,7 @@ class Page:
         return [(root, text) for root, branch, text in self.blocks if stays[branch]]
 
     def main_text(self) -> str:
-        """The blocks of the article with most text, or all where there is none; articles in cut branches only where there is no other."""
+        """The blocks of the article with most text and of others of its size, or all where there is none; articles in cut branches only where there is no other."""
         blocks = self.staying()
         sizes: Counter = Counter()
         for root, text in blocks:
@@ -264,38 +305,59 @@ class Page:
         sure = [r for r in sizes if r and self.late.get(r, True)]
         inside = [r for r in sure if r not in self.late] or sure or [r for r in sizes if r and sizes[r] > sizes[0]]
         best = max(inside, key=lambda r: (sizes[r], -r)) if inside else 0
-        return "\n".join(text for root, text in blocks if root == best)
+        least = ROOT_SHARE * sizes[best]
+        kept = {r for r in inside if sizes[r] >= least} | {best}
+        return "\n".join(text for root, text in blocks if root in kept)
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+#: What a row of counts is about: children of a node, a piece of content, pages with the node, a node that it lies in.
+STYLE, PIECE, PAGES, WITHIN = range(4)
+
+
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, pages in text_slices(batches, "html", 16 << 20):
         seen: dict[str, Counter] = {}
         for site, copies, page in zip(batch.column("host").to_pylist(), batch.column("copies").to_pylist(), pages, strict=True):
             if site:
-                own, held = Page(counting=True).walk(page.decode("utf-8", "replace")).seen, seen.setdefault(site, Counter())
-                for key, n in own.items():
-                    held[key] += n / copies
-                for path in {path for path, _, _ in own}:
-                    held[path, 2, 0] += 1 / copies
+                own, held = Page(counting=True).walk(page.decode("utf-8", "replace")), seen.setdefault(site, Counter())
+                for (path, style), n in own.styles.items():
+                    held[path, STYLE, style] += n / copies
+                for path, value in own.pieces:
+                    held[path, PIECE, value] += 1 / copies
+                for path in {path for path, _ in own.styles}:
+                    held[path, PAGES, 0] += 1 / copies
+                for path in {path for path, _ in own.pieces}:
+                    over = path
+                    while over and (path, WITHIN, over) not in held:
+                        held[path, WITHIN, over] = 1
+                        over = own.above.get(over, 0)
         rows = [(site, path, what, value, n) for site, c in seen.items() for (path, what, value), n in c.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["host", "path", "what", "value", "n"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, elements, pages, importance of each node of the hosts' trees, from (host, html); copies of a page share the weight of one."""
+    """host, path, pages, importance of each node of the hosts' trees, from (host, html); copies of a page share the weight of one."""
     keyed = pages.select("host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("key"))
     copied = stored(keyed.groupBy("host", "key").agg(F.count("*").alias("copies")).where("copies > 1 and host != ''"), "copied")
     weighed = keyed.join(bounded(copied), ["host", "key"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
     variants = weighed.mapInArrow(_count, "host string, path long, what long, value long, n double").groupBy("host", "path", "what", "value").agg(F.round(F.sum("n"), 6).alias("n")).where("n > 0")
-    nodes = variants.groupBy("host", "path", "what").agg(F.round(F.sum("n"), 6).alias("m"), F.sum(F.col("n") * F.ln("n")).alias("x"))
-    entropy = F.when(F.col("m") > 1, 1 - F.col("x") / (F.col("m") * F.ln("m"))).otherwise(F.lit(1.0))
-    nodes = nodes.groupBy("host", "path").agg(F.max("m").alias("elements"), F.max(F.when(F.col("what") == 2, F.col("m"))).alias("pages"), F.max(F.when(F.col("what") == 0, entropy)).alias("style"), F.max(F.when(F.col("what") == 1, entropy)).alias("content"))
-    return nodes.select("host", "path", "elements", "pages", (STYLE_WEIGHT * F.col("style") + (1 - STYLE_WEIGHT) * F.col("content")).alias("importance"))
+    variants = stored(variants, "variants")
+    of = lambda what, x: F.sum(F.when(F.col("what") == what, x))
+    n = F.col("n")
+    nodes = variants.where(F.col("what") != WITHIN).groupBy("host", "path").agg(of(PAGES, n).alias("pages"), of(STYLE, n).alias("elements"), of(STYLE, n * F.ln(n)).alias("x"), of(PIECE, n).alias("pieces"), of(PIECE, n * F.ln(F.greatest(n, F.lit(1.0)))).alias("logs"))
+    nodes = stored(nodes, "nodes")
+    # what a node's own pieces are worth, and of these the mean over all nodes below it
+    worth = F.when((F.col("pages") > 1) & (F.col("pieces") > 0), F.col("pieces") - F.col("logs") / F.ln("pages")).otherwise(F.col("pieces"))
+    below = variants.where(F.col("what") == WITHIN).select("host", "path", F.col("value").alias("over"))
+    content = below.join(nodes.select("host", "path", worth.alias("worth"), "pieces"), ["host", "path"]).groupBy("host", F.col("over").alias("path")).agg((F.sum("worth") / F.sum("pieces")).alias("content"))
+    style = F.when(F.col("elements") > 1, 1 - F.col("x") / (F.col("elements") * F.ln("elements"))).otherwise(F.lit(1.0))
+    both = STYLE_WEIGHT * style + (1 - STYLE_WEIGHT) * F.col("content")
+    return nodes.where("pages is not null").join(content, ["host", "path"]).select("host", "path", "pages", both.alias("importance"))
 
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

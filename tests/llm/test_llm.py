@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -632,6 +633,28 @@ def test_html_main_wrappers():
         assert html_main.Page().walk(page).main_text() == want
 
 
+def test_html_main_tree_by_pieces(spark):
+    """A menu goes though one of its links differs on each page; a byline that differs stays, and articles side by side do."""
+    page = "<body><div class=q1><a href=/a>One</a><a href=/b>Two</a><a href=/c>Three</a><a href=/p{0}>Page {0}</a></div><div class=q2><span>by {0}</span><p>story {0} about {0}</p></div></body>"
+    rows = [(i, "http://a.example/", page.format(i)) for i in range(40)]
+    rows.append((100, "http://b.example/", "<main><article><p>the first part of it</p></article><article><p>the second part</p></article><article><p>ad</p></article></main>"))
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "by 7\nstory 7 about 7"
+    assert got[100] == "the first part of it\nthe second part"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<![CDATA[" * 50_000 + "x", "<![CDATA[ a > b ]]>" * 20_000, "<b>" * 20_000 + "<li>" * 20_000, "<p><ul>" + "<b>" * 20_000 + "<li>y" * 20_000, "<b>" * 20_000 + "x" + "</b>" * 20_000, "<a" * 100_000, "<!" * 100_000, "<p>" + "word " * 200_000, "<!--" + "x" * 500_000],
+    ids=["cdata", "cdata-closed", "b-li", "ul-b-li", "nested", "open", "bogus", "long", "comment"],
+)
+def test_html_main_takes_linear_time(page):
+    began = time.process_time()
+    html_main.Page(counting=True).walk(page)
+    html_main.Page().walk(page).main_text()
+    assert time.process_time() - began < 15
+
+
 def test_html_main_copies_count_once(spark):
     page = "<body><div class=content><p>story {0} about {0}</p></div><div class=q3>Call us</div></body>"
     inside = "<article><div class='entry-content'><p>the only page</p></div></article>"
