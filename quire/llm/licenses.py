@@ -2,11 +2,12 @@
 
 A text becomes its words, lower-cased (A-Z) and joined by single spaces. Rules are regular expressions over that form, each
 with a label, a keyword and a rank; a rule is tried only where its keyword occurs, and none where no keyword of any does. A
-detection that lies inside one of a better rank (or of the same rank and longer) is dropped. The few hundred rules come from
-the license names below: a name with its version, the same after "licensed under" and the like, and the SPDX identifier.
+detection that lies inside one of a better rank (or of the same rank and longer) is dropped. Rules are the notices below and, for
+each license name, the name with its version, the same after "licensed under" and the like, and the SPDX identifier, also alone
+with its version and as a further part of an expression with OR or AND.
 
 Defined cases: null text counts as empty; no detection gives empty labels, null places and score 0; each row stands for
-itself; other columns are ignored; an empty table gives an empty result.
+itself; other columns are ignored; an empty table gives an empty result; very long texts and words are read whole.
 """
 
 from __future__ import annotations
@@ -93,13 +94,45 @@ NOTICES = [
     ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("copyright", "copyright", "copyright( c|©)?( [12][0-9]{3})+"),
+    ("copyright", "copyright", "copyright( c| ©)?( [12][0-9]{3})+"),
+    ("copyright", "copyrighted", "(this|the) (work|text|document|material|software|file) is copyrighted"),
+    ("public-domain", "public domain", "(no|without) copyright public domain"),
+    ("cc0", "waived", "has waived all copyright and related( or| and)? neighboring rights"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("apache", "apache", "licensed to the apache software foundation"),
+    ("apache-2.0", "apache", "apache org licenses license 2 0"),
+    ("gpl", "redistribute it", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "gnu org", "gnu org (licenses|copyleft) gpl"),
+    ("lgpl", "gnu org", "gnu org (licenses|copyleft) lesser"),
+    ("agpl", "affero", "remote network interaction use with the gnu (affero )?general public license"),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla org", "mozilla org mpl"),
+    ("bsd-3-clause", "endorse or promote", "neither the name of .{1,80}? may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display"),
+    ("zlib", "altered source", "altered source versions must be plainly marked as such"),
+    ("bsl", "boost", "boost org license 1 0"),
+    ("wtfpl", "what the", "do what the (fuck|f) you want to public licen[cs]e"),
+    ("artistic", "copyright holder reserves", "the copyright holder reserves the right to refuse"),
+    ("mit", "substantial portions", "shall be included in all copies or substantial portions of the software"),
+    ("ms-pl", "microsoft", "microsoft permissive licen[cs]e"),
+    ("cc-by", "creativecommons", "creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("proprietary", "trade secret", "trade secrets? (and|or) confidential information"),
+    ("proprietary", "unauthorized", "unauthori[sz]ed (copying|reproduction|distribution|use)( or distribution)? .{0,60}?(is )?(strictly )?prohibited"),
+    ("proprietary", "for internal use", "for internal use only"),
     ("proprietary", "proprietary", "(confidential and proprietary|proprietary and confidential)"),
     ("proprietary", "permission", "(may not be (reproduced|copied|redistributed)|reproduction (is )?prohibited) without( prior| written| express)* permission"),
 ]
 
 GRANT = "(licen[cs]ed|released|distributed|published|available|provided)( for use)? under( the)?( terms of)?( the)? "
 VERSION = "( licen[cs]e)?( v| version)? "
+#: What stands before a further license of an expression; the license alone is the detection.
+EXPRESSION = "(?<=spdx license identifier .{1,120} (?:or|and) )"
 
 #: Rank (smaller is better) and confidence of the kinds of rules.
 KINDS = {"spdx": (1, 0.99), "granted version": (2, 0.98), "granted": (3, 0.95), "version": (4, 0.9), "name": (5, 0.7), "notice": (6, 0.8), "phrase": (7, 0.5)}
@@ -108,17 +141,25 @@ KINDS = {"spdx": (1, 0.99), "granted version": (2, 0.98), "granted": (3, 0.95),
 def rules() -> list[tuple[str, str, str, int, float]]:
     """label, keyword, pattern, rank, confidence."""
     out = [(label, keyword, pattern, *KINDS["notice"]) for label, keyword, pattern in NOTICES]
+    listed = set()
     for label, keyword, names, versions in FAMILIES:
-        name = f"(?:{'|'.join(names)})"
-        for v in versions:
-            full = f"{label}-{v.replace(' ', '.') if ' ' in v else v + '.0'}"
-            out.append((full, keyword, f"{GRANT}{name}{VERSION}(v ?)?{v}", *KINDS["granted version"]))
-            out.append((full, keyword, f"{name}{VERSION}(v ?)?{v}", *KINDS["version"]))
-            out.append((full, "spdx", f"spdx license identifier {label.replace('-', ' ')} {v if ' ' in v else v + ' 0'}( only| or later)?", *KINDS["spdx"]))
+        name, plain = f"(?:{'|'.join(names)})", label.replace("-", " ")
+        for v in versions or [""]:
+            full, number = label, ""
+            if v:
+                number = v if " " in v else f"{v} 0"
+                full = f"{label}-{number.replace(' ', '.')}"
+                out.append((full, keyword, f"{GRANT}{name}{VERSION}(v ?)?{v}", *KINDS["granted version"]))
+                out.append((full, keyword, f"{name}{VERSION}(v ?)?{v}", *KINDS["version"]))
+            if full not in listed:  # once a license, whatever names it has
+                listed.add(full)
+                identifier = f"{plain} {number}( only| or later)?" if v else plain
+                out.append((full, "spdx", f"spdx license identifier {identifier}", *KINDS["spdx"]))
+                out.append((full, "spdx", f"{EXPRESSION}{identifier}", *KINDS["spdx"]))
+                if v and label == keyword:
+                    out.append((full, keyword, identifier, *KINDS["version"]))
         out.append((label, keyword, f"{GRANT}{name}", *KINDS["granted"]))
         out.append((label, keyword, name, *KINDS["name"]))
-        if not versions:
-            out.append((label, "spdx", f"spdx license identifier {label.replace('-', ' ')}", *KINDS["spdx"]))
     return out
 
 
@@ -128,10 +169,12 @@ _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def gates() -> list[str]:
     """Words of which each rule's matches hold one: "licen" where a pattern always has it, else the rule's keyword; phrases likewise."""
-    out = {"licen" if "licen" in phrase else phrase for phrase in PHRASES}
-    out |= {keyword for _, keyword, _ in NOTICES}
-    for _, keyword, names, _ in FAMILIES:
-        out |= {"licen" if "licen" in re.sub(r"\([^()]*\)\?", "", name) else keyword for name in names}
+    out = {"licen" if "licen" in phrase else phrase for phrase in PHRASES} | {"spdx"}
+    out |= {"licen" if "licen" in pattern and "(" not in pattern else keyword for _, keyword, pattern in NOTICES}
+    for label, keyword, names, versions in FAMILIES:
+        out |= {"licen" if "licen" in re.sub(r"\([^()]*\)\??", "", name) else keyword for name in names}
+        if versions and label == keyword:  # its identifier stands alone
+            out.add(keyword)
     return sorted(g for g in out if not any(other != g and f" {other} " in f" {g} " for other in out))
 
 
@@ -175,7 +218,7 @@ def _place(words: Column, start: Column) -> Column:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.col("text")), _BREAKS, " ")), F.lit(" "))
     rows = rows.select("doc_id", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"), F.when(_gate(F.col("text")), joined).alias("words"))
 

@@ -578,12 +578,44 @@ def test_licenses_across_breaks(spark):
         ("alle Rechte\nvorbehalten", "reserved"),
         ("Redistribution and use in\nsource and binary forms, with or without\nmodification, are permitted", "bsd"),
         ("a public place, domain of none", ""),
+        ("Copyright © 2020 Foo", "copyright"),
+        ("Copyright (c) 2019, 2020 Foo", "copyright"),
+        ("Apache-2.0", "apache-2.0"),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-3-Clause) OR MIT", "bsd-3-clause,gpl-2.0,mit"),
+        ("under LGPL-2.1", "lgpl-2.1"),
+        ("see https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"),
     ]
     got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
     assert [got[i]["labels"] for i in range(len(cases))] == [want for _, want in cases]
     assert all((got[i]["n_detections"] > 0) == (got[i]["score"] > 0) == bool(want) for i, (_, want) in enumerate(cases))
 
 
+def test_licenses_against_plain_python(spark, texts):
+    """Every rule tried on every text, with no gate and no keyword, and suppression by loops."""
+    import regex
+
+    cases = [
+        "Licensed under the Apache License, Version 2.0. See LICENSE. SPDX-License-Identifier: Apache-2.0 OR MIT",
+        "Released under the terms of the GNU Lesser General Public License v 2.1, and the Mozilla Public License version 2.0; all rights reserved",
+        "This is free and unencumbered software released into the public domain. the Unlicense",
+        "CC BY-NC-SA 4.0 / creativecommons.org/licenses/by-nc-sa/4.0 Creative Commons Attribution-NonCommercial 3.0 CC0 1.0",
+        "Copyright 2001 2002 by X. All rights are reserved. May not be copied without prior written permission. Confidential and proprietary",
+        "BSD 3-Clause License, New BSD License, BSD license; Neither the name of X nor others may be used to endorse or promote products",
+        *(t for t in texts.values() if t),
+    ]
+    rules = [(label, regex.compile(f"(?<= )(?:{pattern})(?= )"), rank) for label, _, pattern, rank, _ in licenses.rules()]
+    upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = licenses.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    for r in rows:
+        words = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", cases[r["doc_id"]].translate(upper))) + " "
+        found = {(m.start(), m.end(), rank, label) for label, pattern, rank in rules for m in pattern.finditer(words)} if len(words) < 3000 or r["labels"] else set()
+        kept = [x for x in found if not any(y[0] <= x[0] and x[1] <= y[1] and (y[2] < x[2] or y[2] == x[2] and y[1] - y[0] > x[1] - x[0]) for y in found)]
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in words}
+        assert r["labels"] == ",".join(sorted(base | {x[3] for x in kept}))
+    assert len({pattern for _, _, pattern, _, _ in licenses.rules()}) > 500
+
+
 PAGES = [
     ("<article><h1>T &amp; t</h1><p>a\n  b<br>c<p>d <i>e</i></article><footer>f</footer>", "T & t\na b c\nd e"),
     ("<body><header>Site</header><nav>menu</nav><main><p>x</p><aside>side</aside><form>f</form></main></body>", "x"),
