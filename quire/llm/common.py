@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +61,17 @@ def word_count(text: Column) -> Column:
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Record batches cut to at most `most` bytes of text (one longer text stands alone), with the texts as bytes; null is empty."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > most:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        own = batch.column(column).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(own), 0).to_pylist()
+        cuts, held = [0], 0
+        for i, n in enumerate(sizes):
+            if held and held + n > most:
+                cuts.append(i)
+                held = 0
+            held += n
+        for a, b in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a), [x or b"" for x in own.slice(a, b - a).to_pylist()]
 
 
 def ascii_lower(text: Column) -> Column:
