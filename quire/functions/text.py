@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,17 @@ def drop_illegal(name: Column) -> Column:
 
 def clean_filename(title: Column) -> Column:
     """A title as a file name: over 300 characters without [groups], and if still over 300 its first 200."""
-    name = collapse(drop_illegal(strip(title)))
-    short = collapse(strip(F.regexp_replace(name, r"\[([^\]]+)\]", "")))
-    return F.when(F.length(name) <= 300, name).when(F.length(short) <= 300, short).otherwise(F.substring(short, 1, 200))
+
+    def shortened(name: Column) -> Column:
+        short = collapse(strip(F.regexp_replace(name, r"\[([^\]]+)\]", "")))
+        return _bound(short, lambda x: F.when(F.length(x) <= 300, x).otherwise(F.substring(x, 1, 200)))
+
+    return _bound(collapse(drop_illegal(strip(title))), lambda x: F.when(F.length(x) <= 300, x).otherwise(shortened(x)))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def directory_name(title: Column) -> Column:

@@ -9,13 +9,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def select_range(chapters: DataFrame, start: int, end: int, index: str = "index") -> DataFrame:
-    """Chapters start to end, both included."""
-    if not 0 < start <= end:
+def select_range(chapters: DataFrame, start: int, end: int, index: str = "index", count: int | None = None) -> DataFrame:
+    """Chapters start to end, both included; end must not be beyond count, if that is given."""
+    if not 0 < start <= end or (count is not None and end > count):
         raise ValueError(f"not a range of chapters: {start} to {end}")
     return chapters.where(F.col(index).between(start, end))
 
 
+def select(chapters: DataFrame, wanted: str | int | Sequence[int], key: str, index: str = "index", link: str = "url", order: str | None = None) -> DataFrame:
+    """One selector for all kinds: "all", a number, "a-b", a link, or a list of numbers in the caller's order."""
+    if isinstance(wanted, str):
+        first, dash, last = wanted.strip().partition("-")
+        if wanted.strip() == "all":
+            return chapters
+        if first.strip().isdecimal() and (not dash or last.strip().isdecimal()):
+            return select_range(chapters, int(first), int(last or first), index)
+        return chapters.where(F.col(link) == F.lit(wanted))
+    if isinstance(wanted, int):
+        return select_range(chapters, wanted, wanted, index)
+    return select_list(chapters, wanted, key, index, order)
+
+
+def misplaced(chapters: DataFrame, key: str, order: str, index: str = "index") -> DataFrame:
+    """Chapters whose number isn't their place in the collection, with that place as `place`."""
+    return chapters.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(order))).where(~F.col(index).eqNullSafe(F.col("place")))
+
+
 def select_list(chapters: DataFrame, wanted: Sequence[int], key: str, index: str = "index", order: str | None = None) -> DataFrame:
     """Of each collection the wanted indices in the caller's order, repeats kept, absent ones skipped; of several chapters with one index the first by `order`. `request_pos` is the place in the request."""
     request = chapters.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(wanted)], "request_pos int, wanted long")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.shared import written
+
 
 def two_hop(first: DataFrame, second: DataFrame, link: Column, target: str) -> DataFrame:
     """Rows of `first` with the row of `second` that their link names."""
@@ -15,18 +19,22 @@ def walk(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(seed, hop, url) along next links: links has (url, next), seeds has (seed, url) at hop 0, hops below `hops`.
 
     Pointers double: after k rounds each page knows the page 2**k steps on, so a walk of n hops takes about log2(n) joins
-    instead of n.
+    instead of n. Each round is written, so its plan is two joins whatever the number of hops. A url with several rows has
+    the smallest of their next links.
     """
-    jump = links.select("url", "next").where("next is not null")
-    reached = seeds.select("seed", F.lit(0).cast("long").alias("hop"), "url")
+    jump = links.where("next is not null").groupBy("url").agg(F.min("next").alias("next"))
+    parts = [seeds.select("seed", F.lit(0).cast("long").alias("hop"), "url")]
     step = 1
     while step < hops:
-        moved = reached.join(jump, "url").select("seed", (F.col("hop") + step).alias("hop"), F.col("next").alias("url")).where(F.col("hop") < hops)
-        reached = reached.unionByName(moved)
-        onward = jump.select(F.col("url").alias("next"), F.col("next").alias("onward"))
-        jump = jump.join(onward, "next").select("url", F.col("onward").alias("next"))
+        moved = reduce(DataFrame.unionByName, parts).join(jump, "url").select("seed", (F.col("hop") + step).alias("hop"), F.col("next").alias("url")).where(F.col("hop") < hops)
+        parts.append(written(moved, "walk"))
+        if parts[-1].isEmpty():
+            break
         step *= 2
-    return reached
+        if step < hops:
+            onward = jump.select(F.col("url").alias("next"), F.col("next").alias("onward"))
+            jump = written(jump.join(onward, "next").select("url", F.col("onward").alias("next")), "jump")
+    return reduce(DataFrame.unionByName, parts)
 
 
 SAME = ("title", "author", "num_chapters", "start_chapter", "end_chapter")

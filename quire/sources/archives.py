@@ -133,14 +133,14 @@ def epub_bytes(book: dict, chapters: Sequence[dict], cover: bytes | None = None)
 
 
 def build_epub(novels: DataFrame) -> DataFrame:
-    """(title, n_entries, content) of novels with nested chapters: one book must fit in a task."""
-    fields = [c for c in ("title", "author", "description", "genres", "novel_url", "num_chapters", "cover_image", "identifier", "chapters", "cover") if c in novels.columns]
+    """(title, n_entries, content) of novels with nested chapters: one book must fit in a task. A column meta (map) becomes the book's further metadata."""
+    fields = [c for c in ("title", "author", "description", "genres", "novel_url", "num_chapters", "cover_image", "identifier", "chapters", "cover", "meta") if c in novels.columns]
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chapters = row.get("chapters") or []
-                data = epub_bytes(row, chapters, row.get("cover"))
+                data = epub_bytes(row | {"meta": dict(row.get("meta") or [])}, chapters, row.get("cover"))
                 yield pa.RecordBatch.from_arrays([pa.array([row["title"]], pa.string()), pa.array([len(chapters)], pa.int64()), pa.array([data], pa.binary())], ["title", "n_chapters", "content"])
 
     return novels.select(*fields).mapInArrow(run, "title string, n_chapters long, content binary")

@@ -85,6 +85,31 @@ def test_walk_stops_at_the_end_and_at_the_bound(spark):
     assert got == {("s", i, f"u{i}") for i in range(5)} | {("t", i, f"u{6 + i}") for i in range(3)}
 
 
+def test_long_walk_has_a_small_plan(spark):
+    chain = spark.range(1100).select(F.col("id").cast("string").alias("url"), F.when(F.col("id") < 1099, (F.col("id") + 1).cast("string")).alias("next"))
+    walked = links.walk(chain.unionByName(chain), spark.createDataFrame([("s", "0")], "seed string, url string"), 1000)
+    assert walked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert {(r["hop"], r["url"]) for r in walked.collect()} == {(i, str(i)) for i in range(1000)} and walked.count() == 1000
+
+
+def test_selector_and_places(spark):
+    rows = spark.createDataFrame([("a", i, f"http://x/{i}") for i in (1, 2, 3, 5)], "k string, index long, url string")
+    got = lambda wanted: [r["index"] for r in collections.select(rows, wanted, "k").collect()]
+    assert sorted(got("all")) == [1, 2, 3, 5] and got(2) == [2] and got("3") == [3] and sorted(got("2-5")) == [2, 3, 5]
+    assert got("http://x/5") == [5] and sorted(got([5, 1, 9])) == [1, 5]
+    assert [(r["index"], r["place"]) for r in collections.misplaced(rows, "k", "index").collect()] == [(5, 4)]
+    with pytest.raises(ValueError, match="not a range"):
+        collections.select_range(rows, 1, 6, count=5)
+
+
+def test_epub_metadata(spark):
+    book = spark.createDataFrame([("T", {"status": "done", "attribute": "x"}, [(1, "c", "<p>y</p>")])], "title string, meta map<string,string>, chapters array<struct<index:long,title:string,content:string>>")
+    data = archives.build_epub(book).first()["content"]
+    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+        opf = z.read("EPUB/content.opf").decode()
+    assert '<meta name="status" content="done"/>' in opf and '<meta name="attribute" content="x"/>' in opf
+
+
 def test_retries(spark):
     rows = spark.createDataFrame([("a", i, f) for i, f in enumerate("FFFFFSFF")], "k string, n long, s string")
     failed = F.col("s") == "F"
