@@ -5,7 +5,7 @@ each one's place in its block; running sums over the blocks' totals give each bl
 second pass adds the two and cuts documents where fixed windows end: a document over a boundary has a piece on either side.
 
 Defined cases: null text counts as empty, which still is one end token; rows that agree in id and text are packed each, in any
-order; an empty table gives an empty result; extra columns are ignored.
+order; an empty table gives an empty result; extra columns are ignored; very long texts and words are encoded whole.
 """
 
 from __future__ import annotations
@@ -30,6 +30,12 @@ from quire.llm.token_counts import MEMORY, byte_alphabet, default_vocabulary
 #: Rows of a block on average, and the least and most blocks; the table of blocks is what is broadcast.
 BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1024, 1024, 1 << 17
 
+#: Bytes of a word that the step by step merges take; a step passes over all symbols, so longer words go to the library.
+STEP_BYTES = 256
+
+#: Bytes of the pieces that a Python worker remembers, and of their words, beside the bound on their number.
+MEMORY_BYTES = 16 << 20
+
 #: A mark after a letter and before white space is a word of its own; set apart, it leaves fewer pieces to remember.
 MARK = re.compile(rb"[.,!?;:](?<=[a-z].)(?=[\x20\x09-\x0D])")
 
@@ -70,8 +76,8 @@ class Encoder:
     """Ids as the library gives them, as little-endian 32-bit bytes.
 
     Tokens never hold white space, so the pieces between it are encoded for themselves and remembered, within a bound. For a
-    vocabulary of words with end marks and byte symbols the merges run here, for all new words of a batch at once; pieces with
-    special tokens, and other kinds of vocabulary, go to the library.
+    vocabulary of words with end marks and byte symbols the merges run here, for all new words of a batch at once; very long
+    words, pieces with special tokens, and other kinds of vocabulary, go to the library.
     """
 
     NONE = 1 << 40
@@ -83,6 +89,7 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.by_word: dict[str, bytes] = {}
+        self.piece_bytes = self.word_bytes = 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
@@ -128,16 +135,20 @@ class Encoder:
             row, symbol = row[stays], symbol[stays]
         return out
 
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def learn(self, pieces: set[bytes]) -> None:
         new = pieces - self.known.keys()
-        if len(self.known) + len(new) > MEMORY:
+        self.piece_bytes += sum(map(len, new))
+        if len(self.known) + len(new) > MEMORY or self.piece_bytes > MEMORY_BYTES:
             self.older, self.known, new = self.known, {}, pieces  # what is still in use moves on
+            self.piece_bytes = sum(map(len, new))
         again = new & self.older.keys()
         self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
         new = new - again
         other = [p for p in new if not self.own or b"<|" in p]
-        for p, e in zip(other, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in other], add_special_tokens=False), strict=True):
-            self.known[p] = np.asarray(e.ids, "<u4").tobytes()
+        self.known.update(zip(other, self.library([p.decode("utf-8", "replace") for p in other]), strict=True))
         plain = list(new.difference(other))
         if self.own and plain:
             # all at once, a line each; lower-cased one by one: str.lower() looks at a final sigma's place
@@ -146,10 +157,16 @@ class Encoder:
             kinds = set(words)
             kinds.discard("\n")
             fresh = list(kinds - self.by_word.keys())
-            if len(self.by_word) + len(fresh) > MEMORY:
+            self.word_bytes += sum(map(len, fresh))
+            if len(self.by_word) + len(fresh) > MEMORY or self.word_bytes > MEMORY_BYTES:
                 self.by_word, fresh = {}, list(kinds)
-            if fresh:
-                self.by_word.update(zip(fresh, self.merge([w.encode() for w in fresh]), strict=True))
+                self.word_bytes = sum(map(len, fresh))
+            raw = {w: w.encode() for w in fresh}
+            short = [w for w, b in raw.items() if len(b) <= STEP_BYTES]
+            long = [w for w, b in raw.items() if len(b) > STEP_BYTES]
+            if short:
+                self.by_word.update(zip(short, self.merge([raw[w] for w in short]), strict=True))
+            self.by_word.update(zip(long, self.library(long), strict=True))
             known, ids, out = self.by_word, [], []
             for w in words:
                 if w == "\n":

@@ -5,7 +5,7 @@ linked list, its adjacent pairs a heap by merge rank (then place). The lowest pa
 The count is the initial symbols less the merges; no ids are made. Counts of pieces are remembered, within a bound.
 
 Defined cases: null text counts as empty (0 tokens); strings of special tokens in a text count one each, as in the library;
-extra columns are ignored; an empty table gives an empty result.
+extra columns are ignored; an empty table gives an empty result; a very long word is merged whole, in n log n steps.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import text_slices
 
-#: Pieces remembered in a Python worker; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Pieces remembered in a Python worker, and bytes of one that is; beyond the number the memory starts anew.
+MEMORY, SHORT = 400_000, 64
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
@@ -105,7 +105,8 @@ class Merger:
                 n = self.count_word(word)
                 if len(known) >= MEMORY:
                     known.clear()
-                known[word] = n
+                if len(word) < SHORT:
+                    known[word] = n
             total += n
         return total
 
@@ -118,7 +119,7 @@ class Merger:
                 n = self.count_piece(piece)
                 if len(known) >= MEMORY:
                     known.clear()
-                if len(piece) < 64:
+                if len(piece) < SHORT:
                     known[piece] = n
             total += n
         return total

@@ -18,6 +18,7 @@ from quire.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, digest string, label string, words string"
 LONG = "word other words here " * 20_000
+LONG_WORD = "abcdefghij" * 20_000 + " " + "é中" * 5_000
 
 ODD = [
     (1, "The quick brown fox jumps over the lazy dog by the river bank today", "en", "a"),
@@ -75,6 +76,14 @@ def test_odd_and_empty_tables(odd, empty, operator):
         assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in ODD)
 
 
+@pytest.mark.parametrize("operator", OPERATORS, ids=lambda f: f.__name__)
+def test_very_long_words(odd, operator):
+    """A word of 200,000 characters gets its row like any other."""
+    long_word = odd.sparkSession.createDataFrame([(10, LONG_WORD, "de", "c", 0, "x", "x", "x", "x")], SCHEMA)
+    rows = operator(odd.where("doc_id = 1").unionByName(long_word)).collect()
+    assert {r["doc_id"] for r in rows} == {1, 10}
+
+
 CARRIERS = {
     "drop_repeats": exact_dedup.drop_repeats,
     "keep_one": near_dedup.keep_one,
@@ -294,6 +303,19 @@ def test_token_counts(docs, texts, odd):
             assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 2048)
 
 
+def test_long_words_as_the_library(monkeypatch):
+    tokenizer = library()
+    words = [LONG_WORD, "x" * 100_000, "ab" * 200, "Ünḯ" * 300, "'" * 400, "1234" * 100, "a" * 256, "a" * 257]
+    counts, own = token_counts.merger(token_counts.default_vocabulary()), packing.Encoder(token_counts.default_vocabulary())
+    for limit in (packing.MEMORY_BYTES, 300):
+        monkeypatch.setattr(packing, "MEMORY_BYTES", limit)
+        for some in (words[:3], words[2:], [w + " and " + w for w in words], words):
+            expected = [tokenizer.encode(w, add_special_tokens=False).ids for w in some]
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode([w.encode() for w in some])] == expected
+            assert [counts.count(w.encode()) for w in some] == list(map(len, expected))
+    assert max(map(len, counts.by_word), default=0) < token_counts.SHORT
+
+
 def test_packing(docs, texts):
     tokenizer, place = library(), defaultdict(list)
     ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for d, t in texts.items()}
