@@ -5,41 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
-
 
 def decode(text: Column) -> Column:
-    """Character references of the landed pages, & last; a final &amp may lack its semicolon."""
+    """The commonest character references, & last; a final &amp may lack its semicolon. operators.elements decodes all."""
     for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return F.regexp_replace(text, "&amp;?", "&")
 
 
-def first_text(page: Column, tag: str) -> Column:
-    return decode(F.regexp_extract(page, f"<{tag}[^>]*>([^<]*)</{tag}>", 1))
-
-
-def anchors(page: Column) -> Column:
-    """(href, text) of links in page order."""
-    hrefs, texts = (F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(k)) for k in (1, 2))
-    return F.transform(F.arrays_zip(hrefs.alias("href"), texts.alias("text")), lambda a: F.struct(a["href"].alias("href"), decode(a["text"]).alias("text")))
-
-
-def hrefs(page: Column) -> Column:
-    return F.regexp_extract_all(page, F.lit('<a href="([^"]*)">'), F.lit(1))
-
-
-def scope(page: Column, tag: str) -> Column:
-    """What stands in the first element of a tag that doesn't hold itself."""
-    return F.regexp_extract(page, f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
-
-
-def class_text(page: Column, tag: str, name: str) -> Column:
-    return decode(F.regexp_extract(page, f'<{tag} class="{name}">([^<]*)</{tag}>', 1))
-
-
-def paragraph_count(page: Column) -> Column:
-    return (F.size(F.split(scope(page, "article"), "<p>")) - 1).cast("long")
+def escape(text: Column) -> Column:
+    """Text as it stands in markup."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
 
 
 def drop_elements(page: Column, tag: str) -> Column:
@@ -51,13 +29,5 @@ def strip_tags(markup: Column) -> Column:
     return F.regexp_replace(markup, "<[^>]*>", "")
 
 
-def plain_text(page: Column) -> Column:
-    """Text of a page without scripts, styles, comments and tags, white space collapsed."""
-    bare = page
-    for pattern in (r"(?s)<script[^>]*>.*?</script>", r"(?s)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->", r"<[^>]*>"):
-        bare = F.regexp_replace(bare, pattern, " ")
-    return F.trim(F.regexp_replace(decode(bare), r"[ \t\n\r\f\x0B]+", " "))
-
-
 def as_document(fragment: Column) -> Column:
     return F.concat(F.lit("<html><body>"), fragment, F.lit("</body></html>"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -105,6 +105,11 @@ def outcome(status: Column) -> Column:
     return F.when(status == 200, F.lit("ok")).when(status == 404, F.lit("missing")).otherwise(F.lit("retry"))
 
 
+def require_ok(status: Column, what: Column) -> Column:
+    """The status of an answer that is there; any other is an error."""
+    return F.when(status == 200, status).otherwise(F.raise_error(F.concat(F.lit("not landed: "), what)))
+
+
 def first_good(attempts: DataFrame, key: str, attempt: str, truncated: Column, most: int) -> DataFrame:
     """The first attempt that isn't truncated among the first `most`, null where all are: the item is missing."""
     good = F.when(~truncated & (F.col(attempt) <= most), F.col(attempt))
@@ -126,3 +131,15 @@ def page_ranks(files: DataFrame, key: Sequence[str], name: str, lexicographic: b
 def with_fallback(rows: DataFrame, other: DataFrame, on: str, value: str) -> DataFrame:
     """rows with a value from another source where their own is null."""
     return rows.join(other.select(on, F.col(value).alias("__other")), on, "left").withColumn(value, F.coalesce(value, "__other")).drop("__other")
+
+
+def retry_then_other(attempts: DataFrame, key: str, attempt: str, truncated: Column, most: int, value: str, other: DataFrame) -> DataFrame:
+    """key and value of the first good attempt among the first `most`; where all fail, the other source's value."""
+    good = F.when(~truncated & (F.col(attempt) <= most), F.struct(attempt, value))
+    tried = attempts.groupBy(key).agg(F.min(good)[value].alias(value))
+    return with_fallback(tried, other, key, value)
+
+
+def once_for_each(rows: DataFrame, key: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with what `derive` adds to a table of the different keys, so that a repeated key is worked out once."""
+    return rows.join(derive(rows.select(key).distinct()), key, "left")

@@ -8,6 +8,7 @@ order; an element's descendants are those with pos < p <= end_pos.
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -204,3 +205,65 @@ def pretty_html(markup: str) -> str:
 @F.arrow_udf(StringType())
 def pretty(markup: pa.Array) -> pa.Array:
     return pa.array([None if x is None else pretty_html(x) for x in markup.to_pylist()], pa.string())
+
+
+class _Words(HTMLParser):
+    """The text of a page outside scripts and styles, with a space for each tag."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.pieces: list[str] = []
+        self.raw = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.pieces.append(" ")
+        self.raw = tag in ("script", "style")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.pieces.append(" ")
+        self.raw = False
+
+    def handle_comment(self, data: str) -> None:
+        self.pieces.append(" ")
+
+    def handle_data(self, data: str) -> None:
+        if not self.raw:
+            self.pieces.append(data)
+
+
+def words_of(markup: str) -> str:
+    parser = _Words()
+    parser.feed(markup)
+    parser.close()
+    return re.sub(r"[ \t\n\r\f\v]+", " ", "".join(parser.pieces)).strip(" ")
+
+
+@F.arrow_udf(StringType())
+def plain_text(markup: pa.Array) -> pa.Array:
+    """Text of a page without scripts, styles, comments and tags, character references decoded, white space collapsed."""
+    return pa.array([None if x is None else words_of(x) for x in markup.to_pylist()], pa.string())
+
+
+def without(markup: Column, *tags: str) -> Column:
+    """Markup without the elements of some tags and all below them, written anew."""
+
+    @F.arrow_udf(StringType())
+    def drop(pages: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else dropped(x, tags) for x in pages.to_pylist()], pa.string())
+
+    return drop(markup)
+
+
+def dropped(markup: str, tags: tuple[str, ...]) -> str:
+    tree = _Tree(True)
+    tree.feed(markup)
+    tree.close()
+    while tree.open:
+        tree._close(tree.open.pop())
+    kept, at = [], 0
+    for e in tree.found:  # in page order, so that what lies inside a dropped element starts before `at`
+        a, b = e["_outer"]
+        if e["tag"] in tags and a >= at:
+            kept += tree.source[at:a]
+            at = b
+    return "".join(kept + tree.source[at:])

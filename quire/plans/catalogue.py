@@ -1,62 +1,18 @@
-"""The registered queries over the landed tables, and the SQL that gives the same rows.
-
-Stand-ins: a novel is a conversation and a chapter a turn (index from 1); attempts are events, of which "error" failed; stored
-items are labels, fresh ones documents.
-"""
+"""The registered queries over the landed tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions import html, text, urls
+from quire.functions import text, urls
 from quire.operators import collections, elements, links
+from quire.plans.registry import CH, QUERIES, SQL, attempts, failed, long, pages, query, turns
 from quire.sources import archives, sinks
 from quire.sources.tables import read_table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _long(x: Column) -> Column:
-    return x.cast("long")
-
-
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages")
-
-
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters: conv_id, index, role, title, text."""
-    rows = read_table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", _long(F.col("turn") + 1).alias("index"), "role", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text")
-
-
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-
-
-def failed() -> Column:
-    return F.col("event_type") == "error"
-
-
 DECODE = "regexp_replace(replace(replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')"
-CH = "SELECT conv_id, CAST(turn + 1 AS BIGINT) AS index, role, split_part(text, chr(10), 1) AS title, text FROM conversations"
 HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
 HOST = "split_part(url, '/', 3)"
 
@@ -64,49 +20,60 @@ HOST = "split_part(url, '/', 3)"
 # pages: elements and fields
 
 
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, anchors, hrefs: the links of each page, parsed."""
+    parsed = elements.parse(pages(spark, sf_dir).select("page_id", "html"), tags=("a",))
+    hrefs = F.transform("elements", lambda a: elements.attr(a, "href"))
+    return parsed.select("page_id", F.col("elements").alias("anchors"), hrefs.alias("hrefs"))
+
+
 @query(f"SELECT page_id, {DECODE.format(x="regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)")} AS title, {DECODE.format(x="regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")} AS heading, {HOST} AS host, CAST(len({HREFS}) AS BIGINT) AS n_anchors FROM pages")
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.col("html")
-    return pages(spark, sf_dir).select("page_id", html.first_text(page, "title").alias("title"), html.first_text(page, "h1").alias("heading"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), _long(F.size(html.hrefs(page))).alias("n_anchors"))
+    parsed = elements.parse(pages(spark, sf_dir), tags=("title", "h1", "a"))
+    shown = [F.coalesce(elements.find("elements", tag)["text"], F.lit("")).alias(name) for tag, name in (("title", "title"), ("h1", "heading"))]
+    return parsed.select("page_id", *shown, F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), long(F.size(elements.find_all("elements", "a"))).alias("n_anchors"))
 
 
 @query(f"SELECT page_id, CAST(u.i - 1 AS BIGINT) AS pos, u.h AS href, {DECODE.format(x='u.t')} AS text FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2), range(1, 1 + len(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1))))) AS z FROM pages) q, LATERAL (SELECT z[1] AS h, z[2] AS t, z[3] AS i) u")
 def page_anchor_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pages(spark, sf_dir).select("page_id", F.posexplode(html.anchors(F.col("html"))).alias("pos", "a"))
-    return rows.select("page_id", _long(F.col("pos")).alias("pos"), "a.href", "a.text")
+    rows = anchors(spark, sf_dir).select("page_id", F.posexplode("anchors").alias("pos", "a"))
+    return rows.select("page_id", long(F.col("pos")).alias("pos"), elements.attr(F.col("a"), "href").alias("href"), "a.text")
 
 
 @query(f"SELECT page_id, CAST(len({HREFS}) AS BIGINT) AS n_anchors FROM pages")
 def page_anchor_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", _long(F.size(html.hrefs(F.col("html")))).alias("n_anchors"))
+    return anchors(spark, sf_dir).select("page_id", long(F.size("hrefs")).alias("n_anchors"))
 
 
 @query(f"SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, l[i] AS url FROM (SELECT page_id, list_reverse({HREFS}) AS l, unnest(range(1, len({HREFS}) + 1)) AS i FROM pages) q")
 def page_links_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collections.links_of(pages(spark, sf_dir).select("page_id", html.hrefs(F.col("html")).alias("l")), F.col("l"), newest_first=True)
-    return rows.select("page_id", _long(F.col("pos")).alias("pos"), "url")
+    rows = collections.links_of(anchors(spark, sf_dir), F.col("hrefs"), newest_first=True)
+    return rows.select("page_id", long(F.col("pos")).alias("pos"), "url")
 
 
 @query(f"SELECT page_id, coalesce({HREFS}[2], 'Unknown') AS second, coalesce({HREFS}[6], 'Unknown') AS sixth FROM pages")
 def nth_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hrefs = html.hrefs(F.col("html"))
-    return pages(spark, sf_dir).select("page_id", *[F.coalesce(F.get(hrefs, F.lit(k)), F.lit("Unknown")).alias(name) for k, name in ((1, "second"), (5, "sixth"))])
+    return anchors(spark, sf_dir).select("page_id", *[F.coalesce(elements.nth(F.col("hrefs"), k), F.lit("Unknown")).alias(name) for k, name in ((1, "second"), (5, "sixth"))])
 
 
 @query("SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, l[i] AS url FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '<a href=\"([^\"]*)\">', 1) AS l FROM pages) p) q")
 def scoped_nav_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = collections.links_of(pages(spark, sf_dir).select("page_id", html.hrefs(html.scope(F.col("html"), "nav")).alias("l")), F.col("l"))
-    return rows.select("page_id", _long(F.col("pos")).alias("pos"), "url")
+    parsed = elements.parse(pages(spark, sf_dir).select("page_id", "html"), tags=("nav", "a"))
+    inside = elements.find_all(elements.within("elements", elements.find("elements", "nav")), "a")
+    rows = collections.links_of(parsed, F.transform(inside, lambda a: elements.attr(a, "href")))
+    return rows.select("page_id", long(F.col("pos")).alias("pos"), "url")
 
 
 @query(f"SELECT page_id, {DECODE.format(x="regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)")} AS ad FROM pages")
 def class_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", html.class_text(F.col("html"), "div", "ad").alias("ad"))
+    parsed = elements.parse(pages(spark, sf_dir).select("page_id", "html"), tags=("div",))
+    return parsed.select("page_id", F.coalesce(elements.find("elements", "div", cls="ad")["text"], F.lit("")).alias("ad"))
 
 
 @query("SELECT page_id, CAST(len(string_split(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<p>')) - 1 AS BIGINT) AS n_paragraphs FROM pages")
 def paragraph_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", html.paragraph_count(F.col("html")).alias("n_paragraphs"))
+    parsed = elements.parse(pages(spark, sf_dir).select("page_id", "html"), tags=("article", "p"))
+    return parsed.select("page_id", long(F.size(elements.find_all(elements.within("elements", elements.find("elements", "article")), "p"))).alias("n_paragraphs"))
 
 
 _BARE = "html"
@@ -116,7 +83,7 @@ for _p in (r"(?s)<script[^>]*>.*?</script>", r"(?s)<style[^>]*>.*?</style>", r"(
 
 @query(f"SELECT page_id, trim(regexp_replace({DECODE.format(x=_BARE)}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS text FROM pages")
 def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", html.plain_text(F.col("html")).alias("text"))
+    return pages(spark, sf_dir).select("page_id", elements.plain_text("html").alias("text"))
 
 
 @query("SELECT page_id, CAST((length(html) - length(replace(html, '<br>', ''))) / 4 AS BIGINT) AS n_breaks, (length(html) - length(replace(html, '<br>', ''))) / 4 = 8 AS truncated, CAST((length(html) - length(replace(html, '<br><br>', ''))) / 8 AS BIGINT) <= 4 AS short FROM pages")
@@ -134,8 +101,8 @@ def parser_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(
         "page_id",
         elements.find("elements", "title")["text"].alias("title"),
-        _long(F.size(elements.find_all("elements", "a"))).alias("n_anchors"),
-        _long(F.size(elements.find_all("elements", "p"))).alias("n_paragraphs"),
+        long(F.size(elements.find_all("elements", "a"))).alias("n_anchors"),
+        long(F.size(elements.find_all("elements", "p"))).alias("n_paragraphs"),
         elements.find("elements", "div", cls="ad")["text"].alias("ad"),
         elements.attr(third, "href").alias("third"),
     )
@@ -157,7 +124,7 @@ def url_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, CAST(regexp_extract_all(url, '([0-9]+)', 1)[-1] AS BIGINT) AS code, regexp_extract_all(split_part(url, 'chap-', -1), '([0-9]+)', 1)[1] || CASE WHEN len(regexp_extract_all(split_part(url, 'chap-', -1), '([0-9]+)', 1)) < 2 THEN '' ELSE '.' || regexp_extract_all(split_part(url, 'chap-', -1), '([0-9]+)', 1)[2] END AS chapter FROM pages")
 def url_last_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", _long(urls.last_number(F.col("url"))).alias("code"), urls.chapter_number(F.col("url")).alias("chapter"))
+    return pages(spark, sf_dir).select("page_id", long(urls.last_number(F.col("url"))).alias("code"), urls.chapter_number(F.col("url")).alias("chapter"))
 
 
 @query("SELECT page_id, lower(regexp_extract(split_part(url, '?', 1), '(\\.[^./]+)$', 1)) AS ext, lower(regexp_extract(split_part(url, '?', 1), '(\\.[^./]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.gif') AS is_image FROM pages")
@@ -279,13 +246,13 @@ def extend_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda i: F.concat(F.lit("u"), i.cast("string"))
     # the stored list lacks the last chapter; its end is the one before
     old = stored.select("conv_id", F.transform(F.slice("i", 1, F.size("i") - 1), link).alias("l"), link(F.element_at("i", -2)).alias("end"), link(F.element_at("i", -1)).alias("last"))
-    return old.select("conv_id", F.posexplode(links.extend(F.col("l"), F.col("end"), F.array("last", F.lit("new")))).alias("pos", "url")).select("conv_id", _long(F.col("pos")).alias("pos"), "url")
+    return old.select("conv_id", F.posexplode(links.extend(F.col("l"), F.col("end"), F.array("last", F.lit("new")))).alias("pos", "url")).select("conv_id", long(F.col("pos")).alias("pos"), "url")
 
 
 @query("SELECT d.doc_id, coalesce(CAST(l.quality AS BIGINT), d.n_chars) AS value FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def fallback_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    primary = docs.select("doc_id").join(read_table(spark, sf_dir, "labels").select("doc_id", _long(F.col("quality")).alias("value")), "doc_id", "left")
+    primary = docs.select("doc_id").join(read_table(spark, sf_dir, "labels").select("doc_id", long(F.col("quality")).alias("value")), "doc_id", "left")
     return collections.with_fallback(primary, docs.select("doc_id", F.col("n_chars").alias("value")), "doc_id", "value")
 
 
@@ -303,7 +270,7 @@ def keep_surviving_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def novel_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     novels = collections.assemble(turns(spark, sf_dir), ["conv_id"], ["role", "title"])
     lines = F.transform("chapters", lambda c: F.concat_ws(":", c["index"].cast("string"), c["role"], c["title"]))
-    return novels.select("conv_id", F.array_join(lines, "\n").alias("body"), _long(F.size("chapters")).alias("n_chapters"))
+    return novels.select("conv_id", F.array_join(lines, "\n").alias("body"), long(F.size("chapters")).alias("n_chapters"))
 
 
 @query(f"WITH c AS ({CH}) SELECT conv_id, count(*) AS num_chapters, arg_min(title, index) AS start_chapter, arg_max(title, index) AS end_chapter, count(*) > 0 AS retrieved FROM c GROUP BY conv_id")
@@ -356,7 +323,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sort_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By a number that ties, then by arrival."""
     w = W.partitionBy("conv_id").orderBy(F.col("index") % 3, "index")
-    return turns(spark, sf_dir).select("conv_id", "index", _long(F.row_number().over(w)).alias("pos"))
+    return turns(spark, sf_dir).select("conv_id", "index", long(F.row_number().over(w)).alias("pos"))
 
 
 # retries
@@ -380,7 +347,7 @@ def retry_giveup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     failures = attempts(spark, sf_dir).where(failed()).select("user_id", F.col("event_id").alias("index"), F.lit("").alias("url"), F.lit("").alias("title"))
     out = sinks.dead_letters(failures, "user_id")
-    return out.select("user_id", F.array_join(F.transform("chapters", lambda c: c["index"].cast("string")), ",").alias("failed"), _long(F.size("chapters")).alias("n"))
+    return out.select("user_id", F.array_join(F.transform("chapters", lambda c: c["index"].cast("string")), ",").alias("failed"), long(F.size("chapters")).alias("n"))
 
 
 @query("SELECT user_id, count(*) FILTER (event_type <> 'error') AS done, count(*) AS requested, count(*) FILTER (event_type <> 'error') / count(*) AS progress FROM events GROUP BY user_id")
@@ -391,14 +358,14 @@ def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH a AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT user_id, min(n) FILTER (event_type <> 'error' AND n <= 10) AS attempt FROM a GROUP BY user_id")
 def truncated_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = attempts(spark, sf_dir).withColumn("n", _long(F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))))
+    numbered = attempts(spark, sf_dir).withColumn("n", long(F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))))
     return collections.first_good(numbered, "user_id", "n", failed(), 10)
 
 
 # sinks
 
 
-@query()
+@query(f"WITH c AS ({CH}) SELECT conv_id, CAST(to_json({{'conv_id': conv_id, 'chapters': list({{'index': index, 'title': title, 'content': text}} ORDER BY index)}}) AS VARCHAR) AS json FROM c GROUP BY conv_id")
 def novel_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     novels = collections.assemble(turns(spark, sf_dir).withColumnRenamed("text", "content"), ["conv_id"], ["title", "content"])
     return novels.select("conv_id", sinks.novel_json("conv_id", "chapters").alias("json"))
@@ -408,7 +375,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Novel "), F.col("conv_id").cast("string"))
     novels = collections.assemble(turns(spark, sf_dir).withColumnRenamed("text", "content"), ["conv_id"], ["title", "content"])
     genres = F.expr("cast(array() as array<string>)")
-    return novels.select(title.alias("title"), F.lit("author").alias("author"), genres.alias("genres"), _long(F.size("chapters")).alias("num_chapters"), text.book_identifier(title, F.lit("author")).alias("identifier"), "chapters")
+    return novels.select(title.alias("title"), F.lit("author").alias("author"), genres.alias("genres"), long(F.size("chapters")).alias("num_chapters"), text.book_identifier(title, F.lit("author")).alias("identifier"), "chapters")
 
 
 @query(
@@ -427,7 +394,7 @@ def epub_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cbz_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = turns(spark, sf_dir).select("conv_id", F.concat(F.col("index").cast("string"), F.lit(".jpg")).alias("name"))
     out = files.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(urls.first_number(F.col("name")).alias("n"), "name"))).alias("e"))
-    return out.select("conv_id", F.array_join(F.transform("e", lambda e: e["name"]), ",").alias("entries"), _long(F.size("e")).alias("n"))
+    return out.select("conv_id", F.array_join(F.transform("e", lambda e: e["name"]), ",").alias("entries"), long(F.size("e")).alias("n"))
 
 
 @query("SELECT 'Novel ' || conv_id AS title, count(*) AS n_chapters, true AS is_zip FROM conversations GROUP BY conv_id")
@@ -449,4 +416,7 @@ def cbz_unzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.sources.landed import unzip
 
     entries = unzip(archives.build_cbz(_turn_files(spark, sf_dir), "conv_id").select("conv_id", "content"))
-    return entries.select("conv_id", _long(F.col("entry_pos")).alias("entry_pos"), "entry_name", _long(F.length("entry_content")).alias("n_bytes"))
+    return entries.select("conv_id", long(F.col("entry_pos")).alias("entry_pos"), "entry_name", long(F.length("entry_content")).alias("n_bytes"))
+
+
+from quire.plans import layouts  # noqa: E402, F401  registers its queries

@@ -5,15 +5,18 @@ from __future__ import annotations
 import html
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import CHAPTER, COVER, INTRO, NO_DESCRIPTION, OTHER
 from quire.sources import pdf
+from quire.sources.shared import written
 
 #: Entries' time, so that equal input gives equal bytes.
 TIME = (1980, 1, 1, 0, 0, 0)
@@ -138,7 +141,7 @@ def build_epub(novels: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one book at a time in Python
                 chapters = row.get("chapters") or []
                 data = epub_bytes(row | {"meta": dict(row.get("meta") or [])}, chapters, row.get("cover"))
                 yield pa.RecordBatch.from_arrays([pa.array([row["title"]], pa.string()), pa.array([len(chapters)], pa.int64()), pa.array([data], pa.binary())], ["title", "n_chapters", "content"])
@@ -156,15 +159,37 @@ def book_items(books: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
     return cover.unionByName(intro).unionByName(nav).unionByName(rows)
 
 
-def write_files(built: DataFrame, folder: str, name: str) -> list[str]:
-    """Writes each row's content to folder/name through Hadoop's file system, from the executors' result a row at a time; the paths."""
-    spark = built.sparkSession
-    jvm, paths = spark._jvm, []
-    conf = spark._jsc.hadoopConfiguration()
-    for row in built.select(name, "content").toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row[name]}")
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row["content"]))
-        out.close()
-        paths.append(path.toString())
-    return paths
+def write_files(built: DataFrame, folder: str, name: str) -> DataFrame:
+    """Writes each row's content to folder/name in the tasks that hold it; (name, path, n_bytes) of what was written.
+
+    A file gets its name when it is whole, so a task that is tried again leaves no half of one.
+    """
+    base = folder.rstrip("/")
+
+    def run(batches):
+        store, root = fs.FileSystem.from_uri(base)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own, data = batch.column(0)[row].as_py(), batch.column(1)[row].as_buffer()
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data)
+                store.move(part, f"{root}/{own}")
+                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([f"{base}/{own}"]), pa.array([data.size], pa.int64())], ["name", "path", "n_bytes"])
+
+    rows = built.select(F.col(name).cast("string").alias("name"), "content").where("name is not null and content is not null")
+    return written(rows.mapInArrow(run, "name string, path string, n_bytes long"), "files")
+
+
+def write_pretty(pages: DataFrame, folder: str, name: str, markup: str = "html") -> DataFrame:
+    """Writes pages with each tag on a line of its own, one file a page."""
+    from quire.operators.elements import pretty
+
+    return write_files(pages.select(F.col(name).alias("name"), pretty(markup).cast("binary").alias("content")), folder, "name")
+
+
+def convert_folder(spark: SparkSession, folder: str, lexicographic: bool = False) -> DataFrame:
+    """(path, n_entries, content): a PDF for each CBZ file below a folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.cbz").load(folder)
+    return cbz_to_pdf(found.select("path", "content"), "path", lexicographic)

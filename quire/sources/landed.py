@@ -20,10 +20,10 @@ def read_novels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.NOVEL).option("multiLine", True).json(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON table, or an empty one where there is none yet."""
+def read_or_empty(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
+    """A table, or an empty one where there is none yet."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).format(form).load(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -45,6 +45,12 @@ def read_images(spark: SparkSession, path: str, bmp: bool = False) -> DataFrame:
     return out.where(urls.is_image(F.col("name"), bmp))
 
 
+def with_files(rows: DataFrame, files: DataFrame, on: str, name: str = "file_content") -> DataFrame:
+    """rows with the content of the landed file whose path is in a column, null where none landed."""
+    landed = files.select(F.col("path").alias("__path"), F.col("content").alias(name))
+    return rows.join(landed, F.col(on) == F.col("__path"), "left").drop("__path")
+
+
 def unzip(archives: DataFrame, content: str = "content") -> DataFrame:
     """archives with a row for each entry: entry_pos, entry_name, entry_content."""
     others = [c for c in archives.columns if c != content]

@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df written under spark.checkpoint.dir and read again; without that setting a temporary folder serves a local session alone."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; without that setting a temporary folder serves a local session alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df written to a new shared path and read again."""
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

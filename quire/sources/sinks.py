@@ -17,16 +17,23 @@ def novel_json(*fields: str) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def write_links(links: DataFrame, key: str, path: str) -> None:
-    """Each key's links in order, as a JSON array."""
+def link_json(links: DataFrame, key: str) -> DataFrame:
+    """(key, value): each key's links in order, as a JSON array."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"])
-    links.groupBy(key).agg(F.to_json(ordered).alias("value")).select("value").write.mode("overwrite").text(path)
+    return links.groupBy(key).agg(F.to_json(ordered).alias("value"))
+
+
+def write_links(links: DataFrame, key: str, path: str) -> None:
+    link_json(links, key).select("value").write.mode("overwrite").text(path)
+
+
+def log_line() -> Column:
+    return F.concat_ws(" ", F.lit("Error at"), F.col("stage"), F.col("index").cast("string"), F.col("url"), F.col("error"))
 
 
 def append_log(failures: DataFrame, path: str) -> None:
     """A line for each failure."""
-    line = F.concat_ws(" ", F.lit("Error at"), F.col("stage"), F.col("index").cast("string"), F.col("url"), F.col("error"))
-    failures.select(line.alias("value")).write.mode("append").text(path)
+    failures.select(log_line().alias("value")).write.mode("append").text(path)
 
 
 def append_failures(failures: DataFrame, path: str) -> None:

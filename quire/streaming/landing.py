@@ -17,13 +17,13 @@ def read_pages(spark: SparkSession, path: str, most_files: int = 1000) -> DataFr
 
 
 def append_new(pages: DataFrame, path: str, checkpoint: str, key: str = "url") -> StreamingQuery:
-    """Parses and appends pages whose key is new, the first of each batch; the anti-join stands before the parser, so stored pages aren't parsed. Runs until the landed files are used up."""
+    """Parses and appends pages whose key is new, the first of each batch; the anti-join stands before the parser, so stored pages aren't parsed, and reads no column of the store but the key. Runs until the landed files are used up."""
     spark = pages.sparkSession
     fields = f"{PAGE}, elements array<string>"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = read_or_empty(spark, path, fields).select(key)
+        stored = read_or_empty(spark, path, fields, "parquet").select(key)
         fresh = missing(first_of(batch, [key], "page_id"), stored, [key])
-        parse(fresh).selectExpr("page_id", "url", "transform(elements, e -> e.tag) as elements").write.mode("append").json(path)
+        parse(fresh).selectExpr("page_id", "url", "transform(elements, e -> e.tag) as elements").write.mode("append").parquet(path)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

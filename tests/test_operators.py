@@ -159,7 +159,8 @@ def test_cbz_pdf_round_trip(spark, tmp_path):
     assert archives.build_cbz(files.where("name = '1.png'"), "chapter", drop_first=True).count() == 0
     assert archives.cbz_to_pdf(archives.build_cbz(files, "chapter").select("chapter", "content"), "chapter").first()["n_entries"] == 4
     paths = archives.write_files(cbz.withColumn("name", F.lit("c.cbz")), f"file://{tmp_path}/out", "name")
-    assert landed.list_files(spark, f"file://{tmp_path}/out", "*.cbz").count() == len(paths) == 1
+    assert landed.list_files(spark, f"file://{tmp_path}/out", "*.cbz").count() == paths.count() == 1
+    assert archives.convert_folder(spark, f"file://{tmp_path}/out").first()["n_entries"] == 3
 
 
 def test_epub(spark):
@@ -193,3 +194,35 @@ def test_files_and_logs(spark, tmp_path):
     shown = novels.select(sinks.report(title=F.col("title"), author=F.lit(None).cast("string"), chapters=F.lit(2), description=F.lit("d"), genres=F.col("genres"), url=F.lit("u")))
     assert "Genres: g" in one(shown) and "Author: Unknown" in one(shown)
     assert one(spark.range(1).select(text.capitalised(F.lit("yes")))) == "Yes"
+
+
+def test_odd_markup(spark):
+    page = """<TITLE>caf&eacute; &#233;&nbsp;x</TITLE><a class="x" href="/a">1</a><a href='/b'>2</a><A HREF="/c">3</A><a href=/d>4</a><script>a("<p>")</script><!-- <p> -->b"""
+    parsed = elements.parse(spark.createDataFrame([(page,)], "html string").withColumn("page", F.col("html")))
+    hrefs = F.transform(elements.find_all("elements", "a"), lambda e: elements.attr(e, "href"))
+    got = parsed.select(hrefs.alias("h"), elements.find("elements", "title")["text"].alias("t"), elements.plain_text("page").alias("p")).first()
+    assert got["h"] == ["/a", "/b", "/c", "/d"]
+    assert got["t"] == "caf\u00e9 \u00e9\u00a0x"
+    assert got["p"] == "caf\u00e9 \u00e9\u00a0x 1 2 3 4 b"
+
+
+def test_dropped_elements():
+    assert elements.dropped("a<b>x<i>y</i></b>c<i>z</i><br>", ("i",)) == "a<b>x</b>c<br/>"
+    assert elements.dropped("<div><i>a<div><i>b</i></div></i>c</div>", ("i",)) == "<div>c</div>"
+    assert elements.dropped("<i>never closed <b>x</b>", ("i",)) == "" and elements.dropped("", ("i",)) == ""
+
+
+def test_answers_that_must_be_there(spark):
+    rows = spark.createDataFrame([(200, "u"), (404, "v")], "status int, url string")
+    checked = rows.select(collections.require_ok(F.col("status"), F.col("url")).alias("s"))
+    with pytest.raises(Exception, match="not landed: v"):
+        checked.collect()
+    assert [r["s"] for r in rows.where("status = 200").select(collections.require_ok(F.col("status"), F.col("url")).alias("s")).collect()] == [200]
+
+
+def test_pretty_pages_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a.html", "<p>x<br>y</p>"), (None, "z"), ("b.html", None)], "name string, html string")
+    found = archives.write_pretty(rows, f"file://{tmp_path}/pretty", "name").collect()
+    assert [r["name"] for r in found] == ["a.html"]
+    assert (tmp_path / "pretty" / "a.html").read_text() == "<p>\n x\n <br/>\n y\n</p>"
+    assert sorted(p.name for p in (tmp_path / "pretty").iterdir() if not p.name.endswith(".crc")) == ["a.html"]

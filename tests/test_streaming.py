@@ -9,6 +9,6 @@ def test_pages_are_appended_once(spark, tmp_path):
     for rows in batches:
         spark.createDataFrame(rows, "page_id bigint, url string, html string").write.mode("append").parquet(f"{base}/in")
         append_new(read_pages(spark, f"{base}/in"), f"{base}/out", f"{base}/state").awaitTermination(120)
-    got = {r["url"]: (r["page_id"], r["elements"]) for r in spark.read.json(f"{base}/out").collect()}
+    got = {r["url"]: (r["page_id"], r["elements"]) for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {"u1": (1, ["p"]), "u2": (2, ["p"]), "u3": (5, ["p", "b"])}
-    assert spark.read.json(f"{base}/out").count() == 3
+    assert spark.read.parquet(f"{base}/out").count() == 3
