@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded, stored, text_slices, unused
+from quire.llm.common import bounded, released, stored, text_slices, unused
 from quire.llm.graph import components
 
 BANDS, ROWS = 25, 5
@@ -112,6 +112,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signatures(n: int) -> object:
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch, texts in text_slices(batches):
@@ -132,6 +133,7 @@ def _signatures(n: int) -> object:
 
 
 def _full_sets(n: int) -> object:
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch, texts in text_slices(batches):

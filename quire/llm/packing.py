@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, text_slices
+from quire.llm.common import released, stored, text_slices
 from quire.llm.token_counts import MEMORY, byte_alphabet, default_vocabulary
 
 #: Rows of a block on average, and the least and most blocks; the table of blocks is what is broadcast.
@@ -223,6 +223,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
     end = np.asarray([end_id], "<u4").tobytes()
     blocks = max(LEAST_BLOCKS, min(MOST_BLOCKS, docs.count() // BLOCK_ROWS))
 
+    @released
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block, place = encoder(vocabulary or default_vocabulary()), None, 0
         for batch, texts in text_slices(batches):
@@ -240,6 +241,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
     totals = tokens.groupBy("block").agg(F.sum(((F.octet_length("ids") - 1) / width).cast("long")).alias("tokens"))
     starts = stored(totals.select("block", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("block_start")), "pack-blocks")
 
+    @released
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
