@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, html_main, langid, licenses, lm_score, mixing, near_dedup, packing, quality, spelling, token_counts
+from quire.llm import conversations, exact_dedup, html_main, langid, licenses, lm_score, mixing, near_dedup, packing, quality, spelling, token_counts
 from quire.llm.common import documents
 from quire.sources.tables import read_table
 
@@ -53,12 +53,16 @@ def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir), damage=31, times=10)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_html_main, op5_token_counts, op6_mixing, op7_quality, op8_packing, op9_langid, op10_license_scan, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_html_main, op5_token_counts, op6_mixing, op7_quality, op8_packing, op9_langid, op10_license_scan, op11_conversation_repair, op13_spelling_variants)}
 
 
 OP1_SQL = r"""
