@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import conversations, exact_dedup, html_main, langid, licenses, lm_score, mixing, near_dedup, packing, quality, spelling, token_counts
+from quire.llm import conversations, exact_dedup, html_main, jaccard_join, langid, licenses, lm_score, mixing, near_dedup, packing, quality, spelling, token_counts
 from quire.llm.common import documents
 from quire.sources.tables import read_table
 
@@ -57,12 +57,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damage_and_repair(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(documents(spark, sf_dir), words=5, percent=80)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir), damage=31, times=10)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_html_main, op5_token_counts, op6_mixing, op7_quality, op8_packing, op9_langid, op10_license_scan, op11_conversation_repair, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_lm_score, op3_near_dedup, op4_html_main, op5_token_counts, op6_mixing, op7_quality, op8_packing, op9_langid, op10_license_scan, op11_conversation_repair, op12_jaccard_join, op13_spelling_variants)}
 
 
 OP1_SQL = r"""
@@ -84,6 +88,18 @@ c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(l) >= 5 THEN list_distinct(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM e JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+b AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, b.b FROM r JOIN b ON r.node = b.a),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
 _OFFERS = "".join(
     f"""
 p{i} AS (SELECT key, sk, words, odds, need, sum(words) OVER (PARTITION BY sk ORDER BY odds, key ROWS UNBOUNDED PRECEDING) AS through FROM (SELECT key, sk, words, odds, n.need FROM p{i - 1} JOIN n{i - 1} n USING (sk) WHERE {"through > p%d.need AND " % (i - 1) if i > 1 else ""}words <= n.need) q),
@@ -109,4 +125,4 @@ SELECT doc_id, words AS size, size AS source_size, target, CAST(words * (whole +
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_near_dedup": OP3_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_near_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op12_jaccard_join": OP12_SQL}
