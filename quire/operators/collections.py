@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators.scans import numbered, running_sum
+
 
 def select_range(chapters: DataFrame, start: int, end: int, index: str = "index", count: int | None = None) -> DataFrame:
     """Chapters start to end, both included; end must not be beyond count, if that is given."""
@@ -32,7 +34,7 @@ def select(chapters: DataFrame, wanted: str | int | Sequence[int], key: str, ind
 
 def misplaced(chapters: DataFrame, key: str, order: str, index: str = "index") -> DataFrame:
     """Chapters whose number isn't their place in the collection, with that place as `place`."""
-    return chapters.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(order))).where(~F.col(index).eqNullSafe(F.col("place")))
+    return numbered(chapters, [key], [order], "place").where(~F.col(index).eqNullSafe(F.col("place")))
 
 
 def select_list(chapters: DataFrame, wanted: Sequence[int], key: str, index: str = "index", order: str | None = None) -> DataFrame:
@@ -88,11 +90,8 @@ def first_heading(rows: DataFrame, key: str, order: str, body: Column, heading:
 
 
 def streaks(attempts: DataFrame, key: str, order: Sequence[str], failed: Column) -> DataFrame:
-    """attempts with `streak`, the failures in a row up to each: 0 at a success."""
-    w = W.partitionBy(key).orderBy(*order)
-    marked = attempts.withColumn("__f", failed.cast("int")).withColumn("__island", F.sum(1 - F.col("__f")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    inside = W.partitionBy(key, "__island").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return marked.withColumn("streak", F.when(F.col("__f") == 1, F.sum("__f").over(inside)).otherwise(F.lit(0)).cast("long")).drop("__f", "__island")
+    """attempts with `streak`, the failures in a row up to each: 0 at a success. A key may have any number of attempts."""
+    return running_sum(attempts, [key], order, failed.cast("int"), ~failed, "streak")
 
 
 def given_up(attempts: DataFrame, key: str, order: Sequence[str], failed: Column, most: int = 5) -> DataFrame:

@@ -419,4 +419,4 @@ def cbz_unzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("conv_id", long(F.col("entry_pos")).alias("entry_pos"), "entry_name", long(F.length("entry_content")).alias("n_bytes"))
 
 
-from quire.plans import layouts  # noqa: E402, F401  registers its queries
+from quire.plans import flows, layouts  # noqa: E402, F401  they register their queries

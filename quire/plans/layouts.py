@@ -237,9 +237,12 @@ def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"SELECT i AS index, '{SITE}/truyen/x/' || i || '/' AS url FROM (SELECT unnest(range(1, 1001)) AS i) q")
+@query(f"WITH c AS ({CH}) SELECT conv_id, index, '{SITE}/truyen/x/' || index || '/' AS url FROM c")
 def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed.numbered_urls(spark, 1, 1000, SITE + "/truyen/x/{}/")
+    """The numbered page of each chapter, from the range of all numbers."""
+    chapters = turns(spark, sf_dir).select("conv_id", "index")
+    most = chapters.agg(F.coalesce(F.max("index"), F.lit(1))).first()[0]
+    return chapters.join(landed.numbered_urls(spark, 1, most, SITE + "/truyen/x/{}/"), "index").select("conv_id", "index", "url")
 
 
 # selection and retries

@@ -5,21 +5,16 @@ from __future__ import annotations
 import html
 import io
 import re
-import uuid
 import zipfile
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import CHAPTER, COVER, INTRO, NO_DESCRIPTION, OTHER
 from quire.sources import pdf
-from quire.sources.shared import written
-
-#: Entries' time, so that equal input gives equal bytes.
-TIME = (1980, 1, 1, 0, 0, 0)
+from quire.sources.file_store import TIME, save_files
 
 
 def zip_bytes(entries: Sequence[tuple[str, bytes]], stored: Sequence[str] = ()) -> bytes:
@@ -162,24 +157,9 @@ def book_items(books: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
 def write_files(built: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes each row's content to folder/name in the tasks that hold it; (name, path, n_bytes) of what was written.
 
-    A file gets its name when it is whole, so a task that is tried again leaves no half of one.
+    Names are given when all tasks are done, so a job that fails leaves no file; a file of the same name gives way.
     """
-    base = folder.rstrip("/")
-
-    def run(batches):
-        store, root = fs.FileSystem.from_uri(base)
-        store.create_dir(root, recursive=True)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own, data = batch.column(0)[row].as_py(), batch.column(1)[row].as_buffer()
-                part = f"{root}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
-                    out.write(data)
-                store.move(part, f"{root}/{own}")
-                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([f"{base}/{own}"]), pa.array([data.size], pa.int64())], ["name", "path", "n_bytes"])
-
-    rows = built.select(F.col(name).cast("string").alias("name"), "content").where("name is not null and content is not null")
-    return written(rows.mapInArrow(run, "name string, path string, n_bytes long"), "files")
+    return save_files(built.select(F.col(name).cast("string").alias("name"), "content"), folder)
 
 
 def write_pretty(pages: DataFrame, folder: str, name: str, markup: str = "html") -> DataFrame:

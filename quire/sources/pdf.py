@@ -51,6 +51,41 @@ def _unfilter(raw: bytes, rows: int, width: int, bpp: int) -> list[bytearray]:
     return out
 
 
+#: First column and row, and steps between them, of the seven passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(line: bytes, width: int, bits: int) -> list[bytes]:
+    """The pixels of a line: their bytes, or a byte for each where several share one."""
+    if bits >= 8:
+        return [line[x : x + bits // 8] for x in range(0, width * bits // 8, bits // 8)]
+    return [bytes([line[x * bits // 8] >> 8 - bits - x * bits % 8 & (1 << bits) - 1]) for x in range(width)]
+
+
+def _deinterlaced(raw: bytes, width: int, height: int, bits: int) -> list[bytes]:
+    """The lines of a picture of so many bits a pixel, put together from its passes."""
+    rows = [[b"\0" * max(1, bits // 8)] * width for _ in range(height)]
+    at = 0
+    for left, top, step_x, step_y in PASSES:
+        w, h = -(-(width - left) // step_x), -(-(height - top) // step_y)
+        if w <= 0 or h <= 0:
+            continue
+        size = (w * bits + 7) // 8
+        for k, line in enumerate(_unfilter(raw[at : at + h * (size + 1)], h, size, max(1, bits // 8))):
+            rows[top + k * step_y][left::step_x] = _samples(bytes(line), w, bits)
+        at += h * (size + 1)
+    if bits >= 8:
+        return [b"".join(r) for r in rows]
+    packed = []
+    for r in rows:
+        number = 0
+        for v in r:
+            number = number << bits | v[0]
+        size = (width * bits + 7) // 8
+        packed.append((number << size * 8 - width * bits).to_bytes(size, "big"))
+    return packed
+
+
 def _png(data: bytes) -> tuple[int, int, str, bytes]:
     at, parts, palette, header = 8, [], b"", b""
     while at + 8 <= len(data):
@@ -64,16 +99,16 @@ def _png(data: bytes) -> tuple[int, int, str, bytes]:
         elif kind == b"IDAT":
             parts.append(body)
     width, height, bits, color, _, _, interlace = struct.unpack(">IIBBBBB", header)
-    if interlace:
-        raise ValueError("interlaced PNG isn't supported")
     packed = b"".join(parts)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    lines = _deinterlaced(zlib.decompress(packed), width, height, bits * channels) if interlace else None
     if color in (0, 2, 3):
-        channels = 3 if color == 2 else 1
         space = {0: "/DeviceGray", 2: "/DeviceRGB", 3: f"[/Indexed /DeviceRGB {len(palette) // 3 - 1} <{palette.hex()}>]"}[color]
+        if lines is not None:
+            return width, height, f"/ColorSpace {space} /BitsPerComponent {bits} /Filter /FlateDecode", zlib.compress(b"".join(lines))
         return width, height, f"/ColorSpace {space} /BitsPerComponent {bits} /Filter /FlateDecode /DecodeParms << /Predictor 15 /Colors {channels} /BitsPerComponent {bits} /Columns {width} >>", packed
     step = bits // 8
-    channels = 2 if color == 4 else 4
-    lines = _unfilter(zlib.decompress(packed), height, width * channels * step, channels * step)
+    lines = lines or _unfilter(zlib.decompress(packed), height, width * channels * step, channels * step)
     pixels = bytearray()
     for line in lines:  # on white
         line = line[::step]
