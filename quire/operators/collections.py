@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.names import unused
 from quire.operators.scans import numbered, running_sum
 
 
@@ -46,14 +47,16 @@ def select_list(chapters: DataFrame, wanted: Sequence[int], key: str, index: str
 
 def first_of(rows: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
     """The first row of each key."""
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    n = unused(rows.columns, 1)[0]
+    return rows.withColumn(n, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def first_by_min(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row of each key by an aggregate, which combines before it shuffles: for keys that may be hot."""
     others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(order)).alias("__best"))
-    return best.select(*[c if c in keys else F.col("__best")[c].alias(c) for c in rows.columns])
+    own = unused(rows.columns, 1)[0]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(order)).alias(own))
+    return best.select(*[c if c in keys else F.col(own)[c].alias(c) for c in rows.columns])
 
 
 def position(links: Column, link: Column, strict: bool = False) -> Column:
@@ -129,7 +132,8 @@ def page_ranks(files: DataFrame, key: Sequence[str], name: str, lexicographic: b
 
 def with_fallback(rows: DataFrame, other: DataFrame, on: str, value: str) -> DataFrame:
     """rows with a value from another source where their own is null."""
-    return rows.join(other.select(on, F.col(value).alias("__other")), on, "left").withColumn(value, F.coalesce(value, "__other")).drop("__other")
+    own = unused([*rows.columns, on, value], 1)[0]
+    return rows.join(other.select(on, F.col(value).alias(own)), on, "left").withColumn(value, F.coalesce(value, own)).drop(own)
 
 
 def retry_then_other(attempts: DataFrame, key: str, attempt: str, truncated: Column, most: int, value: str, other: DataFrame) -> DataFrame:

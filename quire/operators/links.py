@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.names import unused
 from quire.sources.shared import written
 
 
 def two_hop(first: DataFrame, second: DataFrame, link: Column, target: str) -> DataFrame:
     """Rows of `first` with the row of `second` that their link names."""
-    return first.withColumn("__link", link).join(second, F.col("__link") == F.col(target)).drop("__link")
+    own = unused([*first.columns, *second.columns], 1)[0]
+    return first.withColumn(own, link).join(second, F.col(own) == F.col(target)).drop(own)
 
 
 def walk(links: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

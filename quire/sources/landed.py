@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions import urls
+from quire.functions.names import unused
 
 
 def read_novels(spark: SparkSession, path: str) -> DataFrame:
@@ -47,8 +48,9 @@ def read_images(spark: SparkSession, path: str, bmp: bool = False) -> DataFrame:
 
 def with_files(rows: DataFrame, files: DataFrame, on: str, name: str = "file_content") -> DataFrame:
     """rows with the content of the landed file whose path is in a column, null where none landed."""
-    landed = files.select(F.col("path").alias("__path"), F.col("content").alias(name))
-    return rows.join(landed, F.col(on) == F.col("__path"), "left").drop("__path")
+    own = unused([*rows.columns, name], 1)[0]
+    landed = files.select(F.col("path").alias(own), F.col("content").alias(name))
+    return rows.join(landed, F.col(on) == F.col(own), "left").drop(own)
 
 
 def unzip(archives: DataFrame, content: str = "content") -> DataFrame:
