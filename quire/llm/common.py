@@ -21,10 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that numpy work holds at once in a Python worker.
 SLICE_BYTES = 4 << 20
+#: Bytes of a batch that goes to a Python worker, about: it is held by the executor, by the worker, and once more while it is copied.
+BATCH_BYTES = 4 << 20
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage is cut, and a lost executor loses nothing."""
+    """Writes df to the shared folder and reads it again: lineage is cut, and a lost executor loses nothing. Lowers the session's batches to Python workers to BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return written(df, name, compression)
 
 
