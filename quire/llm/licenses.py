@@ -107,7 +107,7 @@ NOTICES = [
     ("agpl", "affero", "remote network interaction use with the gnu (affero )?general public license"),
     ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
     ("mpl", "mozilla org", "mozilla org mpl"),
-    ("bsd-3-clause", "endorse or promote", "neither the name of .{1,80}? may be used to endorse or promote products"),
+    ("bsd-3-clause", "endorse or promote", "neither the name of .{1,400}? may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display"),
     ("zlib", "altered source", "altered source versions must be plainly marked as such"),
     ("bsl", "boost", "boost org license 1 0"),
@@ -123,14 +123,15 @@ NOTICES = [
     ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1-4] [05]"),
     ("cc0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
     ("proprietary", "trade secret", "trade secrets? (and|or) confidential information"),
-    ("proprietary", "unauthorized", "unauthori[sz]ed (copying|reproduction|distribution|use)( or distribution)? .{0,60}?(is )?(strictly )?prohibited"),
+    ("proprietary", "unauthorized", "unauthori[sz]ed (copying|reproduction|distribution|use)( or distribution)? .{0,400}?(is )?(strictly )?prohibited"),
     ("proprietary", "for internal use", "for internal use only"),
     ("proprietary", "proprietary", "(confidential and proprietary|proprietary and confidential)"),
     ("proprietary", "permission", "(may not be (reproduced|copied|redistributed)|reproduction (is )?prohibited) without( prior| written| express)* permission"),
 ]
 
 GRANT = "(licen[cs]ed|released|distributed|published|available|provided)( for use)? under( the)?( terms of)?( the)? "
-VERSION = "( licen[cs]e)?( v| version)? "
+#: Between a name and its version, which may be glued to it by a v.
+NUMBER = "(?:( licen[cs]e)?( v| version)? (v ?)?|v)"
 #: What stands before a further license of an expression; the license alone is the detection.
 EXPRESSION = "(?<=spdx license identifier .{1,120} (?:or|and) )"
 
@@ -149,8 +150,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
             if v:
                 number = v if " " in v else f"{v} 0"
                 full = f"{label}-{number.replace(' ', '.')}"
-                out.append((full, keyword, f"{GRANT}{name}{VERSION}(v ?)?{v}", *KINDS["granted version"]))
-                out.append((full, keyword, f"{name}{VERSION}(v ?)?{v}", *KINDS["version"]))
+                out.append((full, keyword, f"{GRANT}{name}{NUMBER}{v}", *KINDS["granted version"]))
+                out.append((full, keyword, f"{name}{NUMBER}{v}", *KINDS["version"]))
             if full not in listed:  # once a license, whatever names it has
                 listed.add(full)
                 identifier = f"{plain} {number}( only| or later)?" if v else plain

@@ -606,6 +606,9 @@ def test_licenses_across_breaks(spark):
         ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"),
         ("SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-3-Clause) OR MIT", "bsd-3-clause,gpl-2.0,mit"),
         ("under LGPL-2.1", "lgpl-2.1"),
+        ("GPLv3", "gpl-3.0"),
+        ("LGPLv2.1+ or MPLv2.0", "lgpl-2.1,mpl-2.0"),
+        ("Unauthorized copying of this file, via any medium, by any person or company whatsoever and for whatever reason is strictly prohibited", "proprietary"),
         ("see https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"),
     ]
     got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
@@ -745,9 +748,21 @@ def test_pipeline(spark, sf, docs):
     assert tokens == Counter({d: size[d] * n for d, n in ids[4].items()})
 
 
+def test_pipeline_on_odd_and_empty_tables(odd, empty, spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    plain = "Some sentences of plain words follow one another here, and none of them is said twice by the person who wrote this page for us all to read today."
+    more = spark.createDataFrame([(100 + i, f"{plain} It is page {i}.", "en", "a" if i % 2 else None, 0, "x", "x", "x", "x") for i in range(30)], SCHEMA)
+    for name, table in (("odd", odd.unionByName(more)), ("empty", empty)):
+        table.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        pieces = pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        assert (len(pieces) > 0) == (name == "odd")
+        assert {r["doc_id"] for r in pieces} <= {r["doc_id"] for r in table.collect()}
+
+
 def test_sql_names_registered_queries():
     from quire.llm import queries
 
     assert set(queries.oracle_sql()) <= set(queries.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 14))
     json.dumps(queries.oracle_sql())
