@@ -59,16 +59,20 @@ def test_bounds_and_intersections_hold():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 64, 3000, dtype="u8")
     sets = [np.unique(rng.choice(pool, rng.integers(1, 900))) for _ in range(60)]
-    bits = jaccard_join.bitmaps(sets).view("u8")
+    bits = [jaccard_join.bitmap(s).tobytes() for s in sets]
+    assert len(set(map(len, bits))) > 1
     for i, j in combinations(range(60), 2):
         k = len(np.intersect1d(sets[i], sets[j]))
         assert jaccard_join.shared(sets[i], sets[j]) == k
-        assert jaccard_join.overlap_bound(bits[i], bits[j], len(sets[i]), len(sets[j])) >= k
+        least = min(len(bits[i]), len(bits[j]))
+        a, b = (jaccard_join.folded(bits[x], least).view("u8") for x in (i, j))
+        assert jaccard_join.overlap_bound(a, b, len(sets[i]), len(sets[j])) >= k
 
 
-@pytest.mark.parametrize(("leaders", "part", "block"), [(3, 1024, 128), (1, 5, 3)])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, leaders, part, block):
-    """Also with one leader, and tiles cut into parts of a few sets."""
+@pytest.mark.parametrize(("leaders", "part", "block", "most"), [(3, 1024, 128, 8), (1, 5, 3, 8), (1, 1024, 128, 0)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, leaders, part, block, most):
+    """Also with one leader, with tiles cut into parts of a few sets, and with sets dealt out for any pair."""
+    monkeypatch.setattr(jaccard_join, "MOST_PAIRS", most)
     monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
     monkeypatch.setattr(jaccard_join, "PART_SETS", part)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
