@@ -177,6 +177,11 @@ class Encoder:
             out.append(b"".join(ids))
             self.known.update(zip(plain, out, strict=True))
 
+    def forget(self) -> None:
+        """Drops what is remembered: a worker that stands idle keeps the vocabulary alone."""
+        self.known, self.older, self.by_word = {}, {}, {}
+        self.piece_bytes = self.word_bytes = 0
+
     def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
         split = [(t if b"<|" in t or not self.own else MARK.sub(rb" \g<0>", t.lower())).split() for t in texts]
         self.learn(set().union(*split))
@@ -233,6 +238,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
                 places.append(place)
                 place += len(x) // 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array(places, pa.int64()), pa.array(map(shrunk, ids), pa.binary())], ["doc_id", "block", "place", "ids"])
+        own.forget()
 
     placed = _placed(docs, id_col, text_col).withColumn("block", _block(blocks)).repartition("block").sortWithinPartitions("block", "doc_id", "text_key")
     tokens = stored(placed.select("doc_id", "text", "block").mapInArrow(walk, "doc_id long, block int, place long, ids binary"), "pack-tokens")
