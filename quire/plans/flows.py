@@ -138,9 +138,8 @@ CASE WHEN spot > 0 THEN list_min(path[spot:]) END AS circle, CAST(CASE WHEN spot
 def link_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where links between customers end, or in which circle."""
     rows = read_table(spark, sf_dir, "customer").select(long(F.col("c_custkey")).alias("url"))
-    n = rows.agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(n))  # one row
-    return links.trace(rows.select("url", F.when(F.col("url") % 11 != 5, (F.col("url") * F.col("url") + 1) % F.col("n")).alias("next")))
+    n = max(1, rows.count())
+    return links.trace(rows.select("url", F.when(F.col("url") % 11 != 5, (F.col("url") * F.col("url") + 1) % n).alias("next")))
 
 
 @query("WITH b AS (SELECT DISTINCT left(url, 7 + strpos(substr(url, 8), '/')) AS prefix FROM pages WHERE page_id % 3 = 0) SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM b WHERE starts_with(p.url, b.prefix))")
