@@ -68,7 +68,7 @@ def cbz_to_pdf(archives: DataFrame, key: str, lexicographic: bool = False) -> Da
     return build_pdf(entries.select(key, F.col("entry_name").alias("name"), F.col("entry_content").alias("content")), key, lexicographic=lexicographic)
 
 
-STYLE = "body { font-family: serif; line-height: 1.5; margin: 5%; }\nh1, h2 { text-align: left; font-weight: 400; }\nimg { max-width: 100%; }\n"
+STYLE = "body { font-family: serif; line-height: 1.5; margin: 5%; }\nh1, h2 { margin: 1.2em 0 0.6em; }\nimg { max-width: 100%; }\n"
 
 
 def _page(title: str, body: str) -> bytes:
