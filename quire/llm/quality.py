@@ -2,11 +2,10 @@
 
 Spark counts the 5-grams of characters of each language's different texts, a text being its words with one space after each, so
 that n-grams run on across words. Counts of shorter n-grams are the numbers of different characters before them, contexts and
-numbers of counts (for the discounts) are aggregates of all of them. The model keeps an n-gram with at least the share
-`languages / KEPT` of its language's counts of that length, so it has at most `KEPT` n-grams of each length whatever the size of
-the corpus, and a language's part depends on no other language's size; what isn't kept goes to the context's weight for backing
-off, so the probabilities still sum to one. Hashes of n-grams are held in order beside log probabilities, those of contexts
-beside log weights.
+numbers of counts (for the discounts) are aggregates of all of them, and joins of each length with the one below give every
+5-gram of the corpus its interpolated probability: the model has all n-grams. The probabilities of the most frequent 5-grams, at
+most `HELD`, go to the tasks as a table of hashes; the other 5-grams of a text are joined, and their words' sums completed by it,
+so the bound decides where a probability is found and not what it is.
 
 A document's perplexity is that of a word, its characters taken with the model of its language: marks that junk hangs on words
 cost a word something however well one character of them foretells the next. Each language has a band of log perplexity from its different
@@ -28,14 +27,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quire.llm.common import bounded, released, stored, text_slices, unused
 
 ORDER = 5
-#: N-grams of each length that the model keeps at most, all languages together.
-KEPT = 2_000_000
+#: 5-grams whose probabilities the tasks hold at most, all languages together; the others are joined.
+HELD = 2_000_000
+#: For a smaller model: n-grams of each length that it keeps at most, all languages together; None for the whole model.
+KEPT: int | None = None
 #: Robust standard deviations that a band reaches to either side: of texts, and of the mean of a text's words; the least one of texts.
 REACH, WORD_REACH, LEAST_SPREAD = 5.0, 3.5, 0.15
 #: Words remembered in a Python worker, n-grams counted before they are handed on, characters looked up together.
@@ -47,7 +48,10 @@ SLICE = 1 << 20
 #: Bits of a character's number while n-grams are counted: five of them fit a 64-bit key.
 BITS = 12
 
-FEATURES = "doc_id long, text_key long, model_lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, word_var double"
+FEATURES = "doc_id long, text_key long, model_lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_sum double, square_sum double"
+#: Beside them, in rows of their own: the 5-grams of a row's words that aren't held. The first of a word has the word's other log probabilities.
+OPEN = "row_id long, word long, gram string, known double"
+FOUND = pa.schema([(name, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]) for name, kind in (x.split() for x in f"{FEATURES}, {OPEN}".split(", "))])
 
 _rng = np.random.default_rng(20240607)
 FACTORS = _rng.integers(0, 1 << 64, ORDER, dtype="u8") | np.uint64(1)
@@ -69,6 +73,20 @@ def row_hashes(language: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return out
 
 
+def window_hashes(language: int, codes: np.ndarray) -> np.ndarray:
+    """row_hashes of the windows of ORDER characters of a stream, by their ends; those that would start before it get 0."""
+    out, lead = np.zeros(len(codes), "u8"), ORDER - 1
+    own = character_hashes(np.asarray([language]) + 0x200000)[0]
+    for at in range(lead, len(codes), TOGETHER):
+        part = character_hashes(codes[at - lead : at + TOGETHER])
+        n = len(part) - lead
+        with np.errstate(over="ignore"):
+            out[at : at + n] = own
+            for t in range(ORDER):
+                out[at : at + n] += part[lead - t : lead - t + n] * FACTORS[t]
+    return out
+
+
 class Sorted:
     """Hashes in order, each with a number; an index over their first bits, about one a hash, tells where to look."""
 
@@ -254,29 +272,72 @@ def code_points(grams: pa.ChunkedArray, size: int) -> np.ndarray:
     return out
 
 
-def train(rows: DataFrame) -> tuple[dict[str, int], KneserNey]:
-    """The languages of (lang, text), lang not null, by number, and their model. The driver gets n-grams and contexts that are kept, at most KEPT of each length."""
-    levels = [stored(count_grams(rows), "grams")]
+def levels(rows: DataFrame) -> Iterator[tuple[int, list[Row], np.ndarray, DataFrame]]:
+    """For n-grams of each length, from 1: the length, a row a language with numbers of counts, discounts, and (lang, gram, n, number, kept, less)."""
+    found = [stored(count_grams(rows), "grams")]
     for _ in range(ORDER - 1):  # how many n-grams end so
-        levels.append(stored(levels[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "grams"))
-    levels.reverse()
-    model, number = None, {}
-    for order, level in enumerate(levels, 1):
+        found.append(stored(found[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "grams"))
+    for order, level in enumerate(reversed(found), 1):
         few = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
         stats = level.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), *few).orderBy("lang").collect()  # a row a language
+        discount = np.asarray([discounts(r["n1"], r["n2"], r["n3"], r["n4"]) for r in stats]).reshape(-1, 4)
+        least = [len(stats) * r["total"] / KEPT if KEPT else 0.0 for r in stats]
+        limits = level.sparkSession.createDataFrame([(r["lang"], i, least[i], 1 / (1 + r["kinds"]), *discount[i, 1:].tolist()) for i, r in enumerate(stats)], "lang string, number int, least double, floor double, d1 double, d2 double, d3 double")
+        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        yield order, stats, discount, level.join(F.broadcast(limits), "lang").select("lang", "gram", "n", "number", "floor", (F.col("n") >= F.col("least")).alias("kept"), less.alias("less"))
+
+
+def of_contexts(level: DataFrame, order: int, key: str) -> DataFrame:
+    """key, context, with all counts of its n-grams, and what the kept ones take of them (null if none is kept)."""
+    return level.groupBy(key, F.substring("gram", 1, order - 1).alias("context")).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("kept"), F.col("n") - F.col("less"))).alias("mass"))
+
+
+def probabilities(rows: DataFrame) -> tuple[dict[str, int], DataFrame]:
+    """The languages of (lang, text), lang not null, by number, and lang, number, gram, n, logp of every 5-gram."""
+    number, lower = {}, None
+    for order, stats, _, level in levels(rows):
+        number = {r["lang"]: i for i, r in enumerate(stats)}
+        all_of = of_contexts(level, order, "lang")
+        joined = level.withColumn("context", F.substring("gram", 1, order - 1)).join(all_of, ["lang", "context"])
+        if lower is None:
+            joined = joined.withColumn("lower", F.col("floor"))
+        else:
+            joined = joined.withColumn("suffix", F.expr("substring(gram, 2)")).join(lower, ["lang", "suffix"])
+        own = F.when(F.col("kept"), (F.col("n") - F.col("less")) / F.col("total")).otherwise(0.0)
+        weight = F.when(F.col("mass").isNull(), 1.0).otherwise(F.greatest(1 - F.col("mass") / F.col("total"), F.lit(1e-9)))
+        p = joined.select("lang", "number", "gram", "n", (own + weight * F.col("lower")).alias("p"))
+        lower = p.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+    return number, stored(p.select("lang", "number", "gram", "n", F.log("p").alias("logp")), "grams-p")
+
+
+def held(grams: DataFrame) -> tuple[Sorted, bool]:
+    """The table of the most frequent of `probabilities`, and whether it has all of them. The driver gets at most HELD short rows."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, taken = 0, 0
+    for r in grams.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 1,024 rows
+        taken += r["count"]
+        if taken > HELD:
+            least = r["step"] + 1
+            break
+    rows = grams.where(step >= least).select("number", "gram", "logp").toArrow()
+    keys = row_hashes(rows.column("number").to_numpy(), code_points(rows.column("gram"), ORDER))
+    return Sorted(keys, rows.column("logp").to_numpy()), least == 0
+
+
+def train(rows: DataFrame) -> tuple[dict[str, int], KneserNey]:
+    """A model of KEPT n-grams a length for texts that (lang, text) needn't have, with the languages by number. The driver gets what is kept; the queries take `probabilities`."""
+    if KEPT is None:
+        raise ValueError("a model on the driver needs a bound")
+    model, number = None, {}
+    for order, stats, discount, level in levels(rows):
         if model is None:
             number = {r["lang"]: i for i, r in enumerate(stats)}
             model = KneserNey(len(stats))
             model.floor = -np.log(1.0 + np.asarray([r["kinds"] for r in stats]))
         if not stats:
             return number, model
-        discount = np.asarray([discounts(r["n1"], r["n2"], r["n3"], r["n4"]) for r in stats])
-        limits = level.sparkSession.createDataFrame([(r["lang"], i, len(stats) * r["total"] / KEPT, *discount[i, 1:].tolist()) for i, r in enumerate(stats)], "lang string, number int, least double, d1 double, d2 double, d3 double")
-        level = level.join(F.broadcast(limits), "lang").withColumn("kept", F.col("n") >= F.col("least"))
-        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = F.substring("gram", 1, order - 1).alias("context")
         kept = level.where("kept").select("number", "gram", "n").toArrow()
-        contexts = level.groupBy("number", context).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("kept"), F.col("n") - less)).alias("mass")).where("mass is not null").toArrow()
+        contexts = of_contexts(level, order, "number").where("mass is not null").toArrow()
         column = lambda table, name: table.column(name).to_numpy()
         model.add(order, discount, column(kept, "number"), code_points(kept.column("gram"), order), column(kept, "n"), column(contexts, "number"), code_points(contexts.column("context"), order - 1), column(contexts, "total"), column(contexts, "mass"))
     return number, model
@@ -340,16 +401,18 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"), language_key(lang_col).alias("lang"))
     copied = rows.groupBy("lang", "text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1").select("lang", "text_key", "first", F.lit(True).alias("copied"))
     once = rows.join(bounded(stored(copied, "copied")), ["lang", "text_key"], "left").where(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("first")))
-    number, model = train(once.select("lang", "text"))
-    shared = docs.sparkSession.sparkContext.broadcast((number, model))  # at most KEPT n-grams of each length
+    number, grams = probabilities(once.select("lang", "text"))
+    table, whole = held(grams)
+    shared = docs.sparkSession.sparkContext.broadcast((number, table))  # at most HELD hashes and floats
 
     @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (number, model), ids = shared.value, Words()
+        (number, table), ids = shared.value, Words()
         for batch, texts in text_slices(batches, most=SLICE):
             if len(ids) > MEMORY:
                 ids.clear()
             langs = np.asarray(batch.column("lang").to_pylist(), object)
+            row_ids = batch.column("row_id").to_numpy()
             out, logp, squares = np.zeros((len(texts), 5), "i8"), np.zeros(len(texts)), np.zeros(len(texts))
             for lang in set(langs.tolist()):
                 mine = np.flatnonzero(langs == lang)
@@ -358,18 +421,52 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 out[mine, 0] = sizes
                 out[mine, 4] = repeat_words(np.asarray([i for w in words for i in map(ids.__getitem__, w)], "i8"), sizes)
                 codes, length = streamed(words)
-                p, after = model.stream(number[lang], codes) if lang in number else np.zeros(len(codes)), characters(length)
+                after = characters(length)
                 out[mine, 1] = np.maximum(length - ORDER + 1, 0) - sizes
+                if not len(after):
+                    continue
+                p = table.get(window_hashes(number[lang], codes)[after]).astype("f8")
                 ends = np.flatnonzero(codes[after] == 32)  # a word has no space but the one after it
-                of_word = np.diff(np.cumsum(p[after])[ends], prepend=0.0)
+                missing = np.flatnonzero(np.isnan(p))
+                p[missing] = 0.0
+                of_word = np.diff(np.cumsum(p)[ends], prepend=0.0)
+                if len(missing):
+                    word = np.searchsorted(ends, missing)
+                    first = np.r_[True, word[1:] != word[:-1]]
+                    yield from open_rows(lang, np.repeat(row_ids[mine], sizes)[word], word, codes, after[missing], np.where(first, of_word[word], 0.0))
+                    of_word[word] = 0.0
                 logp[mine], squares[mine] = sums(of_word, sizes), sums(of_word**2, sizes)
             out[:, 2] = [len(t) - len(t.translate(None, SYMBOLS)) for t in texts]
             out[:, 3] = [dup_lines(t) for t in texts]
-            log_ppl = -logp / np.maximum(out[:, 0], 1)
-            word_var = np.maximum(squares / np.maximum(out[:, 0], 1) - log_ppl**2, 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), batch.column("lang"), *(pa.array(out[:, k]) for k in range(5)), pa.array(log_ppl), pa.array(word_var)], [x.split()[0] for x in FEATURES.split(", ")])
-
-    return stored(rows.mapInArrow(run, FEATURES), "features")
+            own = [batch.column("doc_id"), batch.column("text_key"), batch.column("lang"), *(pa.array(out[:, k]) for k in range(5)), pa.array(logp), pa.array(squares), batch.column("row_id")]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(texts), f.type) for f in list(FOUND)[len(own) :])], schema=FOUND)
+
+    found = stored(rows.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(run, f"{FEATURES}, {OPEN}"), "features")
+    own = found.where("word is null").drop("word", "gram", "known")
+    own = own.drop("row_id") if whole else completed(own, found.where("word is not null"), grams)
+    n = F.greatest("n_words", F.lit(1))
+    own = own.withColumn("log_ppl", -F.col("log_sum") / n)
+    return own.withColumn("word_var", F.greatest(F.col("square_sum") / n - F.col("log_ppl") * F.col("log_ppl"), F.lit(0.0))).drop("log_sum", "square_sum")
+
+
+def open_rows(language: str, row_ids: np.ndarray, word: np.ndarray, codes: np.ndarray, ends: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of OPEN, with the language and otherwise empty FEATURES, for the windows of a stream that have these ends."""
+    for at in range(0, len(ends), 100_000):
+        part = slice(at, at + 100_000)
+        n = len(ends[part])
+        text = np.ascontiguousarray(codes[ends[part, None] + np.arange(1 - ORDER, 1)], "<u4").tobytes().decode("utf-32-le", "replace")
+        own = {"model_lang": pa.array([language] * n), "row_id": pa.array(row_ids[part]), "word": pa.array(word[part]), "gram": pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)]), "known": pa.array(known[part])}
+        yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(n, f.type) for f in FOUND], schema=FOUND)
+
+
+def completed(rows: DataFrame, missing: DataFrame, grams: DataFrame) -> DataFrame:
+    """rows with the sums over words whose 5-grams weren't all held, their probabilities joined."""
+    joined = missing.select(F.col("model_lang").alias("lang"), "row_id", "word", "gram", "known").join(grams.select("lang", "gram", "logp"), ["lang", "gram"])
+    words = joined.groupBy("row_id", "word").agg(F.sum(F.col("known") + F.col("logp")).alias("of_word"))
+    more = words.groupBy("row_id").agg(F.sum("of_word").alias("more"), F.sum(F.col("of_word") * F.col("of_word")).alias("more_squares"))
+    plus = lambda c, extra: (F.col(c) + F.coalesce(F.col(extra), F.lit(0.0))).alias(c)
+    same = [c for c in rows.columns if c not in ("row_id", "log_sum", "square_sum")]
+    return stored(rows.join(more, "row_id", "left").select(*same, plus("log_sum", "more"), plus("square_sum", "more_squares")), "features")
 
 
 def base_failed() -> Column:
