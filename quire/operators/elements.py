@@ -150,8 +150,9 @@ def nth(elements: Column, n: int, strict: bool = False) -> Column:
 
 
 def within(elements: Column | str, scope: Column) -> Column:
-    """The descendants of an element."""
-    return F.filter(elements, lambda e: (e["pos"] > scope["pos"]) & (e["pos"] <= scope["end_pos"]))
+    """The descendants of an element, which is found once and not again for each of them."""
+    pool = F.col(elements) if isinstance(elements, str) else elements
+    return F.get(F.transform(F.array(scope), lambda s: F.filter(pool, lambda e: (e["pos"] > s["pos"]) & (e["pos"] <= s["end_pos"]))), F.lit(0))
 
 
 def select_one(elements: Column | str, selector: str) -> Column:

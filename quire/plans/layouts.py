@@ -37,8 +37,8 @@ def novels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("title", _join('Tom & "Ann" <', F.col("conv_id"), ">"))
 
 
-def _parsed(rows: DataFrame, page: Column, url: Column, *keys: str) -> DataFrame:
-    return elements.parse(rows.select(*keys, url.alias("url"), page.alias("html")), markup=True)
+def _parsed(rows: DataFrame, page: Column, url: Column, *keys: str, markup: bool = True) -> DataFrame:
+    return elements.parse(rows.select(*keys, url.alias("url"), page.alias("html")), markup=markup)
 
 
 def _number(url: str = "url") -> Column:
@@ -75,7 +75,7 @@ def layout_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.when(F.col("conv_id") % 3 == 0, F.lit("<tr><td>k</td></tr>")).otherwise(F.concat(row(F.lit("0")), row(html.escape(F.col("title"))), row(F.lit("A")), row(F.lit("3")), row(links), row(F.lit("done"))))
     box = _each(F.col("indices"), lambda i: F.concat(F.lit("<a>"), i.cast("string"), F.lit("</a>")))
     page = _join("<table>", rows, '</table><div class="bai-viet-box"><a>no</a></div><div class="bai-viet-box">', box, "</div>")
-    out = records.novel_table(_parsed(novels(spark, sf_dir), page, _join(f"{SITE}/t/", F.col("conv_id"))))
+    out = records.novel_table(_parsed(novels(spark, sf_dir), page, _join(f"{SITE}/t/", F.col("conv_id")), markup=False))
     return out.select(_number("novel_url").alias("conv_id"), "title", F.array_join("genres", "|").alias("genres"), "status", "num_chapters")
 
 

@@ -1,6 +1,7 @@
 """Elements, selection, links, snapshots, retries and archives on small fixtures."""
 
 import io
+import time
 import zipfile
 import zlib
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import collections, elements, links
+from quire.operators import collections, elements, links, records
 from quire.sources import archives, landed, pdf, sinks
 
 PAGE = """<html><head><title>Two &amp; two</title><script>var x = "<p>no</p>";</script></head><body>
@@ -226,3 +227,15 @@ def test_pretty_pages_are_written(spark, tmp_path):
     assert [r["name"] for r in found] == ["a.html"]
     assert (tmp_path / "pretty" / "a.html").read_text() == "<p>\n x\n <br/>\n y\n</p>"
     assert sorted(p.name for p in (tmp_path / "pretty").iterdir() if not p.name.endswith(".crc")) == ["a.html"]
+
+
+def test_descendants_of_an_element_of_a_long_page(spark):
+    """The element around is found once a page: found anew for each descendant, a nested search of 200 rows took minutes."""
+    table = "<table>" + "".join(f"<tr><td>k</td><td> v{i} <a> g{i} </a></td></tr>" for i in range(200)) + '</table><div class="bai-viet-box"></div><div class="bai-viet-box"><a>1</a></div>'
+    parsed = elements.parse(spark.createDataFrame([("u", table), ("v", "<p>none</p>"), ("w", None)], "url string, html string"))
+    began = time.monotonic()
+    rows = {r["novel_url"]: r for r in records.novel_table(parsed).collect()}
+    assert time.monotonic() - began < 30
+    assert (rows["u"]["title"], rows["u"]["status"], rows["u"]["genres"], rows["u"]["num_chapters"]) == ("v1  g1", "v5  g5", ["g4"], 2)
+    assert (rows["v"]["title"], rows["v"]["genres"], rows["v"]["num_chapters"]) == ("Unknown Title", [], 1)
+    assert rows["w"]["title"] == "Unknown Title"
