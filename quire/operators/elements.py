@@ -23,7 +23,7 @@ ELEMENT = "struct<pos:int,end_pos:int,parent:int,depth:int,tag:string,attrs:map<
 ELEMENT_TYPE = pa.struct(
     [("pos", pa.int32()), ("end_pos", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("inner_html", pa.string()), ("outer_html", pa.string())]
 )
-#: Bytes of elements that a batch of parsed pages holds, about; one page may be larger.
+#: Bytes of elements that a batch of parsed pages holds, about (some 1,000 for each as a Python object); one page may be larger.
 PARSED_BYTES = 8 << 20
 
 
@@ -110,7 +110,7 @@ def parse(pages: DataFrame, html_col: str = "html", tags: tuple[str, ...] | None
             for at in range(batch.num_rows):
                 page = batch.column(html_col)[at].as_py()
                 found.append(None if page is None else elements_of(page, wanted, markup))
-                weight += sum(100 + len(e["text"]) + len(e["outer_html"] or "") + len(e["inner_html"] or "") for e in found[-1] or ())
+                weight += sum(1000 + len(e["text"]) + len(e["outer_html"] or "") + len(e["inner_html"] or "") for e in found[-1] or ())
                 if weight > PARSED_BYTES or at == batch.num_rows - 1:  # an element's text is held once for each element around it
                     own = batch.slice(start, len(found))
                     yield pa.RecordBatch.from_arrays([*(own.column(c) for c in others), pa.array(found, pa.list_(ELEMENT_TYPE))], [*others, "elements"])

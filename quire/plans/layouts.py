@@ -306,25 +306,25 @@ def book_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return novels(spark, sf_dir).select("conv_id", shown.alias("report"))
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """title, entry_pos, entry_name, page of the files in the books of all novels."""
+def _entries(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
+    """title, entry_name, page of the files with such names in the books of all novels."""
     meta = F.create_map(F.lit("status"), F.lit("done"), F.lit("chapters"), F.col("num_chapters").cast("string"))
     built = archives.build_epub(books(spark, sf_dir).withColumn("meta", meta))
-    return landed.unzip(built.select("title", "content")).select("title", "entry_pos", "entry_name", F.decode("entry_content", "UTF-8").alias("page"))
+    return landed.unzip(built.select("title", "content"), pattern=pattern).select("title", "entry_name", F.decode("entry_content", "UTF-8").alias("page"))
 
 
 @query(f"WITH c AS ({CH}) SELECT 'Novel ' || conv_id AS title, 'EPUB/chap_' || index || '.xhtml' AS entry_name, title AS head, 'Chương ' || index || ': ' || title AS heading, 'Chương ' || index || ': ' || title || text AS text FROM c")
 def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the chapters in the finished files hold."""
-    pages = _entries(spark, sf_dir).where(F.col("entry_name").startswith("EPUB/chap_"))
-    parsed = elements.parse(pages.drop("entry_pos"), html_col="page", tags=("title", "h1", "body"))
+    pages = _entries(spark, sf_dir, "EPUB/chap_*")
+    parsed = elements.parse(pages, html_col="page", tags=("title", "h1", "body"))
     return parsed.select("title", "entry_name", *[elements.find("elements", tag)["text"].alias(name) for tag, name in (("title", "head"), ("h1", "heading"))], text.strip(elements.find("elements", "body")["text"]).alias("text"))
 
 
 @query(f"WITH c AS ({CH}) SELECT 'Novel ' || conv_id AS title, 'author' AS creator, 'vi' AS language, 'done' AS status, CAST(count(*) AS VARCHAR) AS chapters, count(*) + 4 AS n_items, count(*) + CASE WHEN count(*) <= 100 THEN 2 ELSE 1 END AS n_spine, sha256('Novel ' || conv_id) || '-' || sha256('author') AS identifier FROM c GROUP BY conv_id")
 def epub_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the finished files say of themselves: metadata, further metadata, contents and reading order."""
-    found = elements.parse(_entries(spark, sf_dir).where("entry_name = 'EPUB/content.opf'").select("title", "page"), html_col="page")
+    found = elements.parse(_entries(spark, sf_dir, "EPUB/content.opf").select("title", "page"), html_col="page")
     text_of = lambda tag: elements.find("elements", tag)["text"]
     meta = lambda name: elements.attr(elements.find("elements", "meta", attr={"name": name}), "content")
     count = lambda tag: long(F.size(elements.find_all("elements", tag)))
@@ -333,7 +333,7 @@ def epub_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'Novel ' || conv_id AS title, 'Novel ' || conv_id AS heading, 'Tác giả: author' AS author, 'Số chương: ' || count(*) AS chapters, 'Thể loại: Khác' AS genres FROM conversations GROUP BY conv_id")
 def epub_intro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = elements.parse(_entries(spark, sf_dir).where("entry_name = 'EPUB/intro.xhtml'").select("title", "page"), html_col="page", tags=("h1", "p"))
+    found = elements.parse(_entries(spark, sf_dir, "EPUB/intro.xhtml").select("title", "page"), html_col="page", tags=("h1", "p"))
     line = lambda start: F.get(F.filter("elements", lambda e: e["text"].startswith(start)), 0)["text"]
     return found.select("title", elements.find("elements", "h1")["text"].alias("heading"), line("Tác giả").alias("author"), line("Số chương").alias("chapters"), line("Thể loại").alias("genres"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import CHAPTER, COVER, INTRO, NO_DESCRIPTION, OTHER
 from quire.sources import pdf
 from quire.sources.file_store import TIME, save_files
+from quire.sources.shared import small_batches
 
 
 def zip_bytes(entries: Sequence[tuple[str, bytes]], stored: Sequence[str] = ()) -> bytes:
@@ -132,6 +133,7 @@ def epub_bytes(book: dict, chapters: Sequence[dict], cover: bytes | None = None)
 
 def build_epub(novels: DataFrame) -> DataFrame:
     """(title, n_entries, content) of novels with nested chapters: one book must fit in a task. A column meta (map) becomes the book's further metadata."""
+    small_batches(novels.sparkSession)
     fields = [c for c in ("title", "author", "description", "genres", "novel_url", "num_chapters", "cover_image", "identifier", "chapters", "cover", "meta") if c in novels.columns]
 
     def run(batches):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 from quire.functions import urls
 from quire.functions.names import unused
+from quire.sources.shared import small_batches
 
 
 def read_novels(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +55,9 @@ def with_files(rows: DataFrame, files: DataFrame, on: str, name: str = "file_con
     return rows.join(landed, F.col(on) == F.col(own), "left").drop(own)
 
 
-def unzip(archives: DataFrame, content: str = "content") -> DataFrame:
-    """archives with a row for each entry: entry_pos, entry_name, entry_content."""
+def unzip(archives: DataFrame, content: str = "content", pattern: str = "*") -> DataFrame:
+    """archives with a row for each entry whose name matches a pattern; others aren't read: entry_pos, entry_name, entry_content."""
+    small_batches(archives.sparkSession)
     others = [c for c in archives.columns if c != content]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in archives.schema if f.name != content)
 
@@ -64,6 +67,8 @@ def unzip(archives: DataFrame, content: str = "content") -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(batch.column(content)[row].as_py())) as z:
                     infos = [i for i in z.infolist() if not i.is_dir()]
                     for pos, info in enumerate(infos):
+                        if not fnmatchcase(info.filename, pattern):
+                            continue
                         own = [batch.column(c).slice(row, 1) for c in others]
                         yield pa.RecordBatch.from_arrays([*own, pa.array([pos], pa.int32()), pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], [*others, "entry_pos", "entry_name", "entry_content"])
 

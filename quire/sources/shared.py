@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that goes to a Python worker, about.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batches to Python workers to BATCH_BYTES: a batch by rows alone grows with a row's weight and a partition's size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; without that setting a temporary folder serves a local session alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -239,3 +239,12 @@ def test_descendants_of_an_element_of_a_long_page(spark):
     assert (rows["u"]["title"], rows["u"]["status"], rows["u"]["genres"], rows["u"]["num_chapters"]) == ("v1  g1", "v5  g5", ["g4"], 2)
     assert (rows["v"]["title"], rows["v"]["genres"], rows["v"]["num_chapters"]) == ("Unknown Title", [], 1)
     assert rows["w"]["title"] == "Unknown Title"
+
+
+def test_unzip_reads_what_is_asked_for(spark):
+    """Entries with other names aren't read: this one's content is damaged."""
+    data = bytearray(archives.zip_bytes([("a.txt", b"a" * 50), ("b/c.txt", b"c" * 50)], stored=["a.txt", "b/c.txt"]))
+    data[data.index(b"a" * 50)] = 0
+    rows = landed.unzip(spark.createDataFrame([(1, bytes(data))], "id long, content binary"), pattern="b/*").collect()
+    assert [(r["id"], r["entry_pos"], r["entry_name"], bytes(r["entry_content"])) for r in rows] == [(1, 1, "b/c.txt", b"c" * 50)]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
