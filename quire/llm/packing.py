@@ -16,6 +16,8 @@ import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -43,35 +45,45 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class PairTable:
-    """Rank and result of a pair of symbols, for arrays of pairs: a hash table whose few collisions go to a second one."""
+    """Rank of a pair of symbols, for arrays of pairs: a hash table with 16 slots a pair or more, whose few collisions go to a smaller one."""
 
-    BITS = 20
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.tables = []
-        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
-            slot = self._slot(keys, factor)
-            held, kept = np.full(1 << self.BITS, -1, "i8"), np.zeros(1 << self.BITS, "i8")
+        for factor in self.FACTORS:
+            bits = len(keys).bit_length() + 4
+            slot = self._slot(keys, factor, bits)
+            held, kept = np.full(1 << bits, -1, "i8"), np.zeros(1 << bits, "i4")
             held[slot], kept[slot] = keys, values
-            self.tables.append((factor, held, kept))
+            self.tables.append((factor, bits, held, kept))
             left = held[slot] != keys
             keys, values = keys[left], values[left]
             if not len(keys):
                 return
         raise ValueError("pairs collide in all tables")
 
-    def _slot(self, keys: np.ndarray, factor: int) -> np.ndarray:
+    def _slot(self, keys: np.ndarray, factor: int, bits: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((keys.astype("u8") * np.uint64(factor)) >> np.uint64(64 - self.BITS)).astype("i8")
-
-    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
-        out = np.full(len(keys), default, "i8")
-        for factor, held, kept in self.tables:
-            slot = self._slot(keys, factor)
-            np.copyto(out, kept[slot], where=held[slot] == keys)
+            return ((keys.view("u8") * np.uint64(factor)) >> np.uint64(64 - bits)).view("i8")
+
+    def get(self, left: np.ndarray, right: np.ndarray, default: int) -> np.ndarray:
+        keys = left.astype("i8") << 20 | right
+        out = np.full(len(keys), default, "i4")
+        for factor, bits, held, kept in self.tables:
+            slot = self._slot(keys, factor, bits)
+            hit = np.flatnonzero(held[slot] == keys)
+            out[hit] = kept[slot[hit]]
         return out
 
 
+def _without(matrix: np.ndarray, each: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The matrix with one element less in each row."""
+    stays = np.ones(matrix.shape, bool)
+    stays[each, column] = False
+    return matrix[stays].reshape(len(matrix), matrix.shape[1] - 1)
+
+
 class Encoder:
     """Ids as the library gives them, as little-endian 32-bit bytes.
 
@@ -80,7 +92,7 @@ class Encoder:
     words, pieces with special tokens, and other kinds of vocabulary, go to the library.
     """
 
-    NONE = 1 << 40
+    NONE = (1 << 31) - 1
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -97,85 +109,101 @@ class Encoder:
         if self.own:
             ids, end = model["vocab"], model["end_of_word_suffix"]
             self.words = regex.compile(steps[0]["pattern"]["Regex"] + r"|\n")
-            self.inner = np.asarray([ids[x] for x in byte_alphabet()], "i8")
-            self.last = np.asarray([ids[x + end] for x in byte_alphabet()], "i8")
+            self.inner = np.asarray([ids[x] for x in byte_alphabet()], "i4")
+            self.last = np.asarray([ids[x + end] for x in byte_alphabet()], "i4")
             pairs = np.asarray([(ids[a], ids[b], ids[a + b]) for a, b in model["merges"]], "i8")
-            self.pairs = PairTable(pairs[:, 0] << 20 | pairs[:, 1], np.arange(len(pairs)) << 20 | pairs[:, 2])
+            self.pairs, self.merged = PairTable(pairs[:, 0] << 20 | pairs[:, 1], np.arange(len(pairs))), pairs[:, 2].astype("i4")
+            two = np.arange(1 << 16)  # what two bytes give, as most lookups are of these
+            self.of_inner, self.of_last = (self.pairs.get(self.inner[two >> 8], b[two & 255], self.NONE) for b in (self.inner, self.last))
 
     def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of non-empty words, all merged step by step together: in each step each word's lowest pair, the first of equals."""
+        """Ids of non-empty words. Words of as many symbols are rows of a matrix; those with a pair to merge, the lowest and of equals the first, go on to the words of one symbol less."""
+        if not words:
+            return []
         lengths = np.fromiter(map(len, words), "i8", len(words))
-        raw = np.frombuffer(b"".join(words), "u1")
-        ends = np.cumsum(lengths) - 1
-        symbol = self.inner[raw]
-        symbol[ends] = self.last[raw[ends]]
-        row, out = np.repeat(np.arange(len(words)), lengths), [b""] * len(words)
-        while len(row):
-            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            found = np.full(len(row), self.NONE, "i8")
-            inside = np.flatnonzero(row[1:] == row[:-1])
-            found[inside] = self.pairs.get(symbol[inside] << 20 | symbol[inside + 1], self.NONE)
-            best = np.minimum.reduceat(found, first)
-            size = np.diff(np.r_[first, len(row)])
+        order, out = np.argsort(lengths, kind="stable"), [b""] * len(words)
+        raw = np.frombuffer(b"".join(map(words.__getitem__, order.tolist())), "u1")
+        firsts = np.searchsorted(lengths[order], np.arange(lengths.max() + 2))
+        end = len(raw)
+        row, symbol, found = np.zeros(0, "i8"), np.zeros((0, 0), "i4"), np.zeros((0, 0), "i4")
+        for n in range(len(firsts) - 2, 0, -1):
+            own = order[firsts[n] : firsts[n + 1]]
+            if len(own):
+                part = raw[end - n * len(own) : end].reshape(-1, n)
+                end -= part.size
+                fresh = self.inner[part]
+                fresh[:, -1] = self.last[part[:, -1]]
+                two = part[:, :-1].astype("i4") << 8 | part[:, 1:]
+                pairs = self.of_inner[two]
+                pairs[:, -1:] = self.of_last[two[:, -1:]]
+                row, symbol, found = map(np.concatenate, ((row, own), (symbol, fresh), (found, pairs))) if len(row) else (own, fresh, pairs)
+            if not len(row):
+                continue
+            at = found.argmin(axis=1) if n > 1 else np.zeros(len(row), "i8")
+            best = found[np.arange(len(row)), at] if n > 1 else np.full(len(row), self.NONE)
             done = best == self.NONE
-            if done.any():
-                mark = np.repeat(done, size)
-                ids, at = symbol[mark].astype("<u4").tobytes(), 0
-                for r, n in zip(row[first[done]].tolist(), size[done].tolist(), strict=True):
-                    out[r] = ids[at : at + 4 * n]
-                    at += 4 * n
-                row, symbol, found, best, size = row[~mark], symbol[~mark], found[~mark], best[~done], size[~done]
-                if not len(row):
-                    break
-            hit = np.flatnonzero(found == np.repeat(best, size))
-            hit = hit[np.r_[True, row[hit[1:]] != row[hit[:-1]]]]
-            symbol[hit] = found[hit] & 0xFFFFF
-            stays = np.ones(len(row), bool)
-            stays[hit + 1] = False
-            row, symbol = row[stays], symbol[stays]
+            ids = symbol[done].astype("<u4").tobytes()
+            for k, r in enumerate(row[done].tolist()):
+                out[r] = ids[4 * n * k : 4 * n * (k + 1)]
+            go = np.flatnonzero(~done)
+            row, symbol, found, at = row[go], symbol[go], found[go], at[go]
+            if not len(row):
+                continue
+            each = np.arange(len(row))
+            symbol[each, at] = self.merged[best[go]]
+            symbol, found = _without(symbol, each, at + 1), _without(found, each, at)
+            for side in (at - 1, at):  # the pairs beside the merged one are new
+                new = np.flatnonzero((side >= 0) & (side < n - 2))
+                a = side[new]
+                found[new, a] = self.pairs.get(symbol[new, a], symbol[new, a + 1], self.NONE)
         return out
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[bytes]) -> None:
-        new = pieces - self.known.keys()
+    def learn(self, pieces: set[bytes], special: bool = True) -> None:
+        """special: whether pieces may hold special tokens."""
+        new = pieces.difference(self.known)
         self.piece_bytes += sum(map(len, new))
         if len(self.known) + len(new) > MEMORY or self.piece_bytes > MEMORY_BYTES:
-            self.older, self.known, new = self.known, {}, pieces  # what is still in use moves on
+            self.older, self.known, new = self.known, {}, set(pieces)  # what is still in use moves on
             self.piece_bytes = sum(map(len, new))
-        again = new & self.older.keys()
+        again = new.intersection(self.older) if self.older else set()
         self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        new = new - again
-        other = [p for p in new if not self.own or b"<|" in p]
+        new.difference_update(again)
+        other = [p for p in new if not self.own or b"<|" in p] if special or not self.own else []
         self.known.update(zip(other, self.library([p.decode("utf-8", "replace") for p in other]), strict=True))
-        plain = list(new.difference(other))
+        plain = list(new.difference(other) if other else new)
         if self.own and plain:
             # all at once, a line each; lower-cased one by one: str.lower() looks at a final sigma's place
-            lines = unicodedata.normalize("NFC", b"\n".join(plain).decode("utf-8", "replace")).replace("Σ", "σ").lower()
-            words = self.words.findall(lines)
-            kinds = set(words)
+            lines = unicodedata.normalize("NFC", b"\n".join(plain).decode("utf-8", "replace")).replace("Σ", "σ").lower().split("\n")
+            single = list(map(str.isalpha, lines))  # letters alone are one word
+            several = list(map(not_, single))
+            words = self.words.findall("\n".join(compress(lines, several))) if any(several) else []
+            kinds = set(compress(lines, single)).union(words)
             kinds.discard("\n")
-            fresh = list(kinds - self.by_word.keys())
+            fresh = list(kinds.difference(self.by_word))
             self.word_bytes += sum(map(len, fresh))
             if len(self.by_word) + len(fresh) > MEMORY or self.word_bytes > MEMORY_BYTES:
                 self.by_word, fresh = {}, list(kinds)
                 self.word_bytes = sum(map(len, fresh))
-            raw = {w: w.encode() for w in fresh}
-            short = [w for w, b in raw.items() if len(b) <= STEP_BYTES]
-            long = [w for w, b in raw.items() if len(b) > STEP_BYTES]
-            if short:
-                self.by_word.update(zip(short, self.merge([raw[w] for w in short]), strict=True))
+            raw = list(map(str.encode, fresh))
+            short = [len(b) <= STEP_BYTES for b in raw]
+            self.by_word.update(zip(compress(fresh, short), self.merge(list(compress(raw, short))), strict=True))
+            long = list(compress(fresh, map(not_, short)))
             self.by_word.update(zip(long, self.library(long), strict=True))
-            known, ids, out = self.by_word, [], []
+            known = self.by_word.__getitem__
+            self.known.update(zip(compress(plain, single), map(known, compress(lines, single)), strict=True))
+            ids, out = [], []
             for w in words:
                 if w == "\n":
                     out.append(b"".join(ids))
                     ids = []
                 else:
-                    ids.append(known[w])
-            out.append(b"".join(ids))
-            self.known.update(zip(plain, out, strict=True))
+                    ids.append(known(w))
+            if any(several):
+                out.append(b"".join(ids))
+            self.known.update(zip(compress(plain, several), out, strict=True))
 
     def forget(self) -> None:
         """Drops what is remembered: a worker that stands idle keeps the vocabulary alone."""
@@ -183,8 +211,9 @@ class Encoder:
         self.piece_bytes = self.word_bytes = 0
 
     def encode(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
-        split = [(t if b"<|" in t or not self.own else MARK.sub(rb" \g<0>", t.lower())).split() for t in texts]
-        self.learn(set().union(*split))
+        special = [b"<|" in t for t in texts]
+        split = [(t if x or not self.own else MARK.sub(rb" \g<0>", t.lower())).split() for t, x in zip(texts, special, strict=True)]
+        self.learn(set().union(*split), any(special))
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) + end for pieces in split]
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 import time
 import zlib
@@ -316,6 +317,18 @@ def test_long_words_as_the_library(monkeypatch):
     assert max(map(len, counts.by_word), default=0) < token_counts.SHORT
 
 
+def test_merges_look_up_new_pairs_alone(monkeypatch):
+    """What is looked up grows with the merges, not with the symbols times the steps; ids are the library's."""
+    tokenizer, own, looked_up = library(), packing.Encoder(token_counts.default_vocabulary()), []
+    get = packing.PairTable.get
+    monkeypatch.setattr(packing.PairTable, "get", lambda self, keys, *rest: looked_up.append(len(keys)) or get(self, keys, *rest))
+    words = ["a", "é", "$", "thether", *("".join(random.Random(i).choices("etaoné", k=i % 60 + 1)) for i in range(300))]
+    ids = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.merge([w.encode() for w in words])] == ids
+    assert sum(looked_up) <= sum(3 * len(w.encode()) for w in words)
+    assert own.merge([]) == []
+
+
 def test_packing(docs, texts):
     tokenizer, place = library(), defaultdict(list)
     ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for d, t in texts.items()}
