@@ -4,8 +4,9 @@ A source's target is its share of all words by weight, at most `most_copies` tim
 by weight. With f = target / size, every document gets floor(f) certain copies. One more copy goes to a sample drawn with
 inclusion probability r = f - floor(f): documents are ranked by the odds of a random number (of their id and text, so reruns
 agree) divided by the odds of r, and the first whose words fit the rest of the target are taken. As documents are whole and
-differ in size, what the first that doesn't fit leaves open is offered to the later documents in the same order, a few times,
-and at last to the document nearest in size.
+differ in size, what the first that doesn't fit leaves open is offered to the later documents in the same order, again and again
+until none of them fits (or, where a contract says so, a stated number of times), and at last to the document nearest in size.
+An offer leaves less than the first that doesn't fit has words; as the order is random, about as many offers are made as the number of words of a large document has bits.
 
 Defined cases: null text has size 0; a null source is a source of its own, after all others; rows that agree in id, text and
 source are drawn together; a source without words gets target 0; an empty table gives an empty result; very long texts count whole; other
@@ -14,6 +15,8 @@ columns are ignored (`mixture` carries them along, whatever their names).
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +27,6 @@ from quire.llm.common import stored, unused, word_count
 WEIGHTS = (1, 2, 3)
 #: Rows of a source that one range of the ranking holds on average.
 RANGE_ROWS = 20_000
-#: Offers of what is left to documents further down the ranking.
-OFFERS = 3
 
 
 def source_key(source: Column) -> Column:
@@ -66,10 +67,10 @@ def _running(rows: DataFrame) -> DataFrame:
     return rows.withColumn("within", F.sum("words").over(running)).join(starts, ["source_key", "part"]).withColumn("words_through", F.col("start") + F.col("within")).drop("start", "within")
 
 
-def draw(units: DataFrame, shares: DataFrame, name: str = "mix") -> DataFrame:
+def draw(units: DataFrame, shares: DataFrame, name: str = "mix", offers: int | None = None) -> DataFrame:
     """units (key, source_key, size, copies, ...) with source_size, target and `times`, the copies that the mix takes of each.
 
-    shares has one row a source; Spark broadcasts it only below its own threshold.
+    offers: how often what is left is offered down the ranking; None: until no document fits. shares has one row a source; Spark broadcasts it only below its own threshold.
     """
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = units.join(shares, "source_key").withColumn("f", f).withColumn("whole", F.floor("f").cast("long")).withColumn("chance", F.col("f") - F.col("whole"))
@@ -81,8 +82,11 @@ def draw(units: DataFrame, shares: DataFrame, name: str = "mix") -> DataFrame:
     left = rows.groupBy("source_key").agg((F.first("target") - F.first("whole") * F.first("source_size")).alias("need"))
     left = stored(left, f"{name}-need")
     pool, taken = rows.where("rank_odds is not null and words > 0").select("key", "source_key", "words", "rank_odds", "part"), None
-    for offer in range(OFFERS):
+    for offer in count() if offers is None else range(offers):
         seen = stored(_running(pool.join(left, "source_key").where("words <= need")), f"{name}-offer{offer}")
+        if offers is None and seen.isEmpty():
+            taken = seen.select("key") if taken is None else taken
+            break
         got = seen.where("words_through <= need")
         spent = got.groupBy("source_key").agg(F.sum("words").alias("spent"))
         left = stored(left.join(spent, "source_key", "left").select("source_key", (F.col("need") - F.coalesce("spent", F.lit(0))).alias("need")), f"{name}-need")
@@ -100,17 +104,17 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return stored(rows.groupBy("key", "doc_id", "source_key", "size").agg(F.count("*").alias("copies")), f"{name}-units")
 
 
-def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", offers: int | None = None) -> DataFrame:
     """One row for rows that agree in id, text and source: key, doc_id, size, copies, source_size, target, times."""
     own = units(docs, id_col, text_col, source_col)
     sizes = own.groupBy("source_key").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     shares = stored(targets(sizes, weights, most_copies), "mix-targets")
-    return draw(own, shares)
+    return draw(own, shares, offers=offers)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", offers: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, times, taken."""
-    rows = drawn(docs, weights, most_copies, id_col, text_col, source_col)
+    rows = drawn(docs, weights, most_copies, id_col, text_col, source_col, offers)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select("doc_id", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 

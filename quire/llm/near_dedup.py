@@ -11,7 +11,7 @@ that the bands find is lost.
 Bands: 25 of 5 values from 63 permutations (the last one's greatest value is not used) miss a pair of similarity 0.85 with probability 4e-7, one of 0.8 with 5e-5.
 
 Defined cases: null text counts as empty; documents without words are linked with nothing; fewer words than a shingle has are
-one shingle; rows with a null id are left alone; rows that share an id are one node each per text; other columns are ignored
+one shingle; rows with a null id are left alone; rows that share an id are one node each per set of shingles, and stay or go each for itself; other columns are ignored
 (`keep_one` carries them along); an empty table gives an empty result.
 """
 
@@ -122,11 +122,12 @@ def _signatures(n: int) -> object:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "digest", "bands"],
+                ["doc_id", "text_key", "n_shingles", "digest", "bands"],
             )
 
     return run
@@ -138,7 +139,7 @@ def _full_sets(n: int) -> object:
         words = WordHashes()
         for batch, texts in text_slices(batches):
             sets = shingle_sets(*words.of(texts), n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))], ["node", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))], ["id", "digest", "shingles"])
 
     return run
 
@@ -206,22 +207,27 @@ def intersections(elements: np.ndarray, sizes: np.ndarray, columns: int = 2048)
     return out.astype("i8")
 
 
-def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs."""
+def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """doc_id, text_key, n_shingles, component_id of each row of docs, with a number of its component (null without words), and whether rows share an id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = stored(rows.mapInArrow(_signatures(words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
-    classes = stored(own.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    keyed = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = stored(keyed.mapInArrow(_signatures(words), "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    repeats = own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    classes = own.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # classes are numbered by their smallest id, unless an id may be that of several
+    classes = stored(classes, "classes").withColumn("node", F.monotonically_increasing_id() if repeats else F.col("id"))
+    classes = stored(classes, "classes") if repeats else classes
 
     # buckets of two nodes or more, and the full sets of their nodes
     entries = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
     entries = stored(entries.join(shared, "bucket"), "entries")
-    involved = stored(entries.select("node").distinct().join(classes.select("node", "digest"), "node"), "involved")
-    wanted = bounded(involved.select(F.col("node").alias("doc_id")).distinct())
+    involved = stored(entries.select("node").distinct().join(classes.select("node", "id", "digest"), "node"), "involved")
+    wanted = bounded(involved.select(F.col("id").alias("doc_id")).distinct())
     texts = rows.join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_full_sets(words), "node long, digest binary, shingles array<long>")
-    sets = sets.join(involved, ["node", "digest"], "left_semi").drop("digest")
-    if own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    sets = texts.mapInArrow(_full_sets(words), "id long, digest binary, shingles array<long>")
+    sets = sets.join(involved, ["id", "digest"]).select("node", "shingles")
+    if repeats:
         sets = sets.dropDuplicates(["node"])
     sets = stored(sets, "sets")
 
@@ -253,9 +259,20 @@ def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_
     ends = labels.select("label").unionByName(over.select("label")).distinct()
     labels = labels.unionByName(ends.select(F.col("label").alias("node"), "label")).distinct().join(over, "label", "left").select("node", F.coalesce("higher", "label").alias("label")).distinct()
 
-    found = classes.select("digest", "node").join(labels, "node").select("digest", "label")
-    alone = own.join(classes.select("digest", "node"), "digest", "left").join(found, "digest", "left")
-    return alone.select("doc_id", "n_shingles", F.coalesce("label", "node", "doc_id").alias("component_id"))
+    found = classes.select("digest", "id", "node").join(labels, "node", "left").select("digest", "id", F.coalesce("label", "node").alias("component"))
+    if repeats:
+        found = stored(found, "found")
+        least = found.groupBy("component").agg(F.min("id").alias("component_id"))
+        found = found.join(least, "component").select("digest", "component", "component_id")
+    else:
+        found = found.select("digest", "component", F.col("component").alias("component_id"))
+    rows = own.drop("bands").join(found, "digest", "left")
+    return rows.select("doc_id", "text_key", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id")), repeats
+
+
+def link(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs."""
+    return _linked(docs, words, percent, id_col, text_col)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,8 +281,16 @@ def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, id_col: str =
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one of each component stays (the smallest id), with all their columns."""
-    own_id, gone_id = unused(docs, 2)
-    gone = stored(link(docs, words, percent, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")
-    kept = docs.withColumn(own_id, F.col(id_col).cast("long")).join(bounded(gone), F.col(own_id) == F.col(gone_id), "left_anti")
+    """The rows of docs of which one of each component stays (the smallest id; of texts that share it, one), with all their columns. Rows alike in id and text stay or go together."""
+    own_id, own_key, gone_id, gone_key = unused(docs, 4)
+    found, repeats = _linked(docs, words, percent, id_col, text_col)
+    others = found.where("doc_id != component_id")
+    keyed, match = docs.withColumn(own_id, F.col(id_col).cast("long")), F.col(own_id) == F.col(gone_id)
+    if repeats:
+        found = stored(found.where("doc_id is not null and component is not null"), "near-found")
+        stays = found.where("doc_id = component_id").groupBy("component").agg(F.min("text_key").alias("stays"))
+        others = found.join(stays, "component").where("doc_id != component_id or text_key != stays")
+        keyed, match = keyed.withColumn(own_key, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), match & (F.col(own_key) == F.col(gone_key))
+    gone = others.select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    kept = keyed.join(bounded(stored(gone, "near-gone")), match, "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

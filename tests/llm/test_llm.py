@@ -254,6 +254,19 @@ def linked(sets, percent):
     return {d: root(d) for d in sets}
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    """Each text of an id has its own links, and one that is linked with nothing stays beside one that goes."""
+    text = lambda name, *changed: " ".join(f"{name}{i}" + "x" * (i in changed) for i in range(100))
+    rows = [(5, text("a")), (6, text("a", 0)), (5, text("b")), (7, text("b", 99)), (5, text("c")), (4, text("c", 0)), (8, text("d")), (8, text("d", 0)), (5, text("e")), (9, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.link(table).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5), (5, 4), (4, 4), (8, 8), (9, 9)}
+    kept = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one(table, 3, 85).collect()]
+    of_eight = [r for r in kept if r[0] == 8]
+    assert len(of_eight) == 1 and of_eight[0] in rows
+    assert sorted(r for r in kept if r[0] != 8) == sorted([(4, text("c", 0)), (5, text("a")), (5, text("b")), (5, text("e")), (9, "")])
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
 def test_near_dedup(docs, texts, n, percent):
     sets = {d: shingles(t, n) for d, t in texts.items()}
@@ -376,6 +389,26 @@ def test_mixing(odd, docs):
     assert mixed.columns == odd.columns
 
 
+def test_mixing_offers_until_nothing_fits(spark):
+    """No document that would fit is left out while the ranking is gone through: as a walk over it in plain Python."""
+    rng = random.Random(7)  # two sources take more than three offers
+    rows = [(i, "w " * int(4096 ** rng.random()), f"s{i % 3}") for i in range(150)]
+    of = defaultdict(list)
+    for r in mixing.drawn(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        of[r["source_key"]].append(r)
+    assert len(of) == 3
+    for rows in of.values():
+        need, got = rows[0]["target"] - rows[0]["whole"] * rows[0]["source_size"], set()
+        order = sorted((r for r in rows if r["rank_odds"] is not None), key=lambda r: (r["rank_odds"], r["key"]))
+        for r in order:
+            if r["words"] <= need:
+                got.add(r["key"])
+                need -= r["words"]
+        rest = [(abs(r["words"] - need), r["rank_odds"], r["key"]) for r in order if r["key"] not in got and abs(r["words"] - need) < need]
+        got |= {min(rest)[2]} if rest else set()
+        assert {r["key"] for r in rows if r["times"] > r["whole"]} == got
+
+
 def test_quality_base(docs, texts):
     def repeats(w):
         seen = defaultdict(list)
