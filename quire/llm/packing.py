@@ -15,7 +15,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import compress
 from operator import not_
 
@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import released, stored, text_slices
-from quire.llm.token_counts import MEMORY, byte_alphabet, default_vocabulary
+from quire.llm.common import give_back, released, stored, text_slices
+from quire.llm.token_counts import byte_alphabet, default_vocabulary
 
 #: Rows of a block on average, and the least and most blocks; the table of blocks is what is broadcast.
 BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1024, 1024, 1 << 17
@@ -35,8 +35,11 @@ BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1024, 1024, 1 << 17
 #: Bytes of a word that the step by step merges take; a step passes over all symbols, so longer words go to the library.
 STEP_BYTES = 256
 
-#: Bytes of the pieces that a Python worker remembers, and of their words, beside the bound on their number.
-MEMORY_BYTES = 16 << 20
+#: Pieces that a Python worker remembers, twice, and their words; and the bytes of either. One is some 200 bytes of memory beside its own.
+MEMORY, MEMORY_BYTES = 200_000, 8 << 20
+
+#: Bytes of text encoded at once; the pieces of a text weigh some ten times as much as the text.
+ENCODED_BYTES = 1 << 20
 
 #: A mark after a letter and before white space is a word of its own; set apart, it leaves fewer pieces to remember.
 MARK = re.compile(rb"[.,!?;:](?<=[a-z].)(?=[\x20\x09-\x0D])")
@@ -95,9 +98,7 @@ class Encoder:
     NONE = (1 << 31) - 1
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.by_word: dict[str, bytes] = {}
@@ -116,6 +117,13 @@ class Encoder:
             two = np.arange(1 << 16)  # what two bytes give, as most lookups are of these
             self.of_inner, self.of_last = (self.pairs.get(self.inner[two >> 8], b[two & 255], self.NONE) for b in (self.inner, self.last))
 
+    @cached_property
+    def tokenizer(self):
+        """The library's, loaded when a piece needs it: few texts do, and an idle worker would hold it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of non-empty words. Words of as many symbols are rows of a matrix; those with a pair to merge, the lowest and of equals the first, go on to the words of one symbol less."""
         if not words:
@@ -159,6 +167,8 @@ class Encoder:
         return out
 
     def library(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[bytes], special: bool = True) -> None:
@@ -220,7 +230,9 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    own = Encoder(path)
+    give_back()  # what was read of the file
+    return own
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -260,7 +272,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, vocabulary: str |
     @released
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, block, place = encoder(vocabulary or default_vocabulary()), None, 0
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, most=ENCODED_BYTES):
             ids, places = own.encode(texts, end), []
             for b, x in zip(batch.column("block").to_pylist(), ids, strict=True):
                 block, place = (block, place) if b == block else (b, 0)

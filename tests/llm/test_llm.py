@@ -330,6 +330,18 @@ def test_long_words_as_the_library(monkeypatch):
     assert max(map(len, counts.by_word), default=0) < token_counts.SHORT
 
 
+def test_encoder_holds_little():
+    own, words = packing.Encoder(token_counts.default_vocabulary()), ["".join(x) for x in product("etaoinshrdlucm", repeat=5)]
+    own.encode([b"The quick brown fox, of 1 and 22 dogs."])
+    assert "tokenizer" not in vars(own)  # the library is for other pieces
+    for at in (0, 150_000, 300_000):
+        own.encode([" ".join(words[at : at + 150_000]).encode()])
+        assert max(len(own.known), len(own.older), len(own.by_word)) <= 200_000
+    again = b"<|endoftext|> " + " ".join([*words[:50], "e" * 300, *words[-50:]]).encode()
+    assert own.encode([again])[0] == np.asarray(library().encode(again.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    assert "tokenizer" in vars(own)
+
+
 def test_merges_look_up_new_pairs_alone(monkeypatch):
     """What is looked up grows with the merges, not with the symbols times the steps; ids are the library's."""
     tokenizer, own, looked_up = library(), packing.Encoder(token_counts.default_vocabulary()), []
