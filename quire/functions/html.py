@@ -13,6 +13,11 @@ def decode(text: Column) -> Column:
     return F.regexp_replace(text, "&amp;?", "&")
 
 
+def undecoded(page: Column) -> Column:
+    """A page of which a parser, which decodes all references (also &quot without a semicolon), gives texts and attributes as they stand."""
+    return F.replace(page, F.lit("&"), F.lit("&amp;"))
+
+
 def escape(text: Column) -> Column:
     """Text as it stands in markup."""
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):

@@ -44,3 +44,23 @@ def test_flagship(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 50
+
+
+ODD_PAGES = [
+    (1, "http://a.example/1", '<title>token = &quot</title><h1>token = &quot</h1><div class="ad">x &copy</div><a href="/1">1</a>'),  # cut within a reference
+    (2, "http://a.example/2", "<title>a &lt; &l &am &amp &amp;quot; &eacute; &#233; &middot;</title><h1>&gt b&ampc &</h1>"),
+    (3, "http://a.example/3", None),
+    (4, "a.example", ""),
+]
+
+
+@pytest.mark.parametrize("name", ["page_title"])
+def test_odd_pages(spark, tmp_path, name):
+    import duckdb
+
+    spark.createDataFrame(ODD_PAGES, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    ours = QUERIES[name](spark, str(tmp_path))
+    want = c.execute(f"SELECT {', '.join(ours.columns)} FROM ({SQL[name]}) ORDER BY page_id").fetchall()
+    assert [tuple(r) for r in ours.orderBy("page_id").collect()] == want
